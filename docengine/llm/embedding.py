@@ -18,6 +18,8 @@ from docengine.llm.store import table, tune
 SHARD_ROWS = 100_000
 #: First beam, the share of the true links that an audit has to find, and one audited query in so many.
 BEAM, RECALL, AUDIT = 32, 0.99, 16
+#: Cells of the table of nodes that a batch of queries has met.
+_SEEN = 1 << 25
 _SLACK = 1e-4
 _GRAPH = "shard int, ord int, id long, copies long, dim int, level int, vec array<float>, near array<int>"
 
@@ -89,8 +91,9 @@ def _search(least: float):
                     label = np.arange(len(graph[2]))
                     rows = []
                 g, exact, ids, copies = graph
-                for lo in range(0, len(part), 256):
-                    some = part.iloc[lo : lo + 256]
+                step = max(64, min(len(part), _SEEN // len(ids)))
+                for lo in range(0, len(part), step):
+                    some = part.iloc[lo : lo + step]
                     qids = some["id"].to_numpy()
                     r, c = links(g, exact, ids, _unit(some["vec"]), qids)
                     n = np.bincount(r, weights=copies[c], minlength=len(some)).astype(np.int64)
@@ -136,7 +139,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_rows: int = S
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     same = table(source.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct")
     total = same.count()
-    n_shards = shards or max(2, -(-total // shard_rows))
+    n_shards = shards or max(3, -(-total // shard_rows))
     nodes = same.select(
         F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_shards)).cast("int").alias("shard"),
         "id", "copies", F.size("embedding").alias("dim"), F.col("embedding").alias("vec"),

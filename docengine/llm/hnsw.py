@@ -9,9 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 M = 12
-BUILD_BEAM = 40
+BUILD_BEAM = 32
 _SEED_NODES = 48
-_BATCH = 512
+_BATCH = 1024
 
 
 def levels(n: int, seed: int) -> np.ndarray:
@@ -56,7 +56,7 @@ class Graph:
 
     def _select(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Diverse neighbours: nearer to the node than to one chosen before, then the nearest others."""
-        order = np.argsort(-np.where(ids >= 0, sims, -3), axis=1, kind="stable")[:, : 3 * most]
+        order = np.argsort(-np.where(ids >= 0, sims, -3), axis=1, kind="stable")[:, : 2 * most + 8]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         v = self.vectors[np.maximum(ids, 0)]
         cross = v @ v.transpose(0, 2, 1)
@@ -116,7 +116,7 @@ class Graph:
 
     def beam(self, q: np.ndarray, entry: np.ndarray, k: int, width: int, live: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The `width` nearest nodes met by beam search in layer k; -2 marks empty places of sims."""
-        n, step = len(q), 4
+        n, step = len(q), 8
         seen = np.zeros((n, live or self.sizes[k]), dtype=bool)
         ids = np.zeros((n, width), dtype=np.int64)
         sims = np.full((n, width), -2, dtype=np.float32)
@@ -140,8 +140,9 @@ class Graph:
             node = nb[r, c].astype(np.int64)
             fresh = ~seen[rows[r], node]
             r, node = r[fresh], node[fresh]
-            key = np.unique(r * seen.shape[1] + node)
-            r, node = key // seen.shape[1], key % seen.shape[1]
+            key = np.sort(r * seen.shape[1] + node)
+            key = key[np.diff(key, prepend=-1) > 0]
+            r, node = np.divmod(key, seen.shape[1])
             seen[rows[r], node] = True
             s = np.einsum("ed,ed->e", self.vectors[node], q[rows[r]])
             count = np.bincount(r, minlength=len(rows))

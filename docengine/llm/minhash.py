@@ -53,7 +53,7 @@ def _shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each text, and where each text's begin."""
     h, owner = W.grams(W.scan(texts, W.BY_SPACE), k)
     cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-    parts = [np.unique(h[cut[i] : cut[i + 1]]) for i in range(len(texts))]
+    parts = [W.distinct(h[cut[i] : cut[i + 1]]) for i in range(len(texts))]
     first = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(p) for p in parts], out=first[1:])
     return (np.concatenate(parts) if parts else h), first

@@ -58,6 +58,22 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cached["p"], _cached["q"]
 
 
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each raw[start:end]; spans ascend and do not overlap."""
+    hashes = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _WINDOW, side="right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        up, down = _tables(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], dtype=np.uint64, out=sums[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        hashes[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return hashes
+
+
 @dataclass
 class Words:
     """Words in order; `first[d]:first[d + 1]` are those of text d; `start`/`end` are bytes in `data`."""
@@ -84,17 +100,7 @@ def scan(texts: list[str | None], mask: np.ndarray, lower: bool = True) -> Words
     inside = mask[raw]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     start, end = edges[::2], edges[1::2]
-    hashes = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + _WINDOW, side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        up, down = _tables(hi - lo + 1)
-        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], dtype=np.uint64, out=sums[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        hashes[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
+    hashes = hash_spans(raw, start, end)
     first = np.searchsorted(start, base, side="left")
     return Words(raw.tobytes(), start, end, hashes, first, base)
 
@@ -130,3 +136,11 @@ def batches(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[in
             lo, total = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    keep = np.ones(len(x), dtype=bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
