@@ -1,0 +1,4 @@
+"""Every query of the engine's own operators over the driver's tables, and its SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
