@@ -1,4 +1,420 @@
 """Every query of the engine's own operators over the driver's tables, and its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docengine.functions import text as T
+from docengine.operators import classify, clean, jobs, layout, tables, validate
+from docengine.plans import stand_ins as S
+from docengine.plans.extraction import extract
+from docengine.session import ship
+from docengine.sources.documents import literal_text, upload_error
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_RUN = "len(list_filter(range(1, length({0}) - 3), lambda i: substr({0}, i, 5) = repeat(substr({0}, i, 1), 5))) > 0"
+_S = _STRIP.format("line")
+_REASON = rf"""CASE WHEN {_S} = '' THEN 'blank'
+  WHEN regexp_matches({_S}, '^[^\p{{L}}\p{{N}}_\s]{{3,}}$') THEN 'symbols'
+  WHEN length({_S}) >= 5 AND (lower(substr({_S}, 1, 5)) = repeat(lower(substr({_S}, 1, 1)), 5) OR {_RUN.format(_S)}) THEN 'run'
+  WHEN regexp_matches({_S}, '^\s*[-_=*#]{{5,}}\s*$') THEN 'separator'
+  WHEN regexp_matches({_S}, '(?i)^Page\s+\d+\s+of\s+\d+$') THEN 'page mark'
+  WHEN NOT regexp_matches({_S}, '[\p{{L}}\p{{N}}]') THEN 'no letters' END"""
+_WORDS = "len(list_filter(string_split_regex({}, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH {S.DOC_LINES},
+k AS (SELECT doc_id, line_no, {_S} AS line, {_REASON} AS reason FROM doc_lines),
+r AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id, replace(lower(line), 'ß', 'ss') ORDER BY line_no) AS n FROM k WHERE reason IS NULL)
+SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM r WHERE n = 1 GROUP BY doc_id""")
+def doc_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = clean.drop_exact(clean.remove_noise(S.doc_lines(spark, sf_dir).drop("source")), ["doc_id"], ["line_no"])
+    out = clean.join_lines(lines, ["doc_id"], ["line_no"])
+    return out.select("doc_id", "n_lines", (F.length("text") - F.col("n_lines") + 1).cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(f"WITH {S.PAGE_LINES_SQL} SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n, sum(length(line))::BIGINT AS n_chars FROM page_lines GROUP BY ALL")
+def line_noise_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.page_lines(spark, sf_dir).groupBy(F.coalesce(T.noise_reason(F.col("line")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"""WITH {S.PAGE_LINES_SQL},
+o AS (SELECT doc_id, page, line, min(line_no) AS line_no FROM page_lines GROUP BY doc_id, page, line),
+p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM o GROUP BY doc_id),
+rep AS (SELECT o.doc_id, line FROM o JOIN p USING (doc_id) GROUP BY o.doc_id, line, pages HAVING count(DISTINCT page) / pages >= 0.6 AND pages >= 2 AND {_WORDS.format('line')} <= 12)
+SELECT doc_id, page, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM o ANTI JOIN rep USING (doc_id, line) GROUP BY doc_id, page""")
+def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = clean.drop_exact(S.page_lines(spark, sf_dir), ["doc_id", "page"], ["line_no"], F.col("line"))
+    out = clean.join_lines(clean.drop_headers(once), ["doc_id", "page"], ["line_no"])
+    return out.select("doc_id", "page", "n_lines", F.md5("text").alias("digest"))
+
+
+_STITCH = r"""
+x AS (SELECT doc_id, page, text, confidence, lead(text) OVER (PARTITION BY doc_id ORDER BY page) AS nx FROM page_conf),
+e AS (SELECT *, coalesce(text <> '' AND nx <> '' AND NOT regexp_matches(text, '[.!?।॥]$') AND regexp_matches(nx, '^\p{Ll}'), false) AS ok FROM x),
+r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM e),
+m AS (SELECT *, ok AND row_number() OVER (PARTITION BY doc_id, run, ok ORDER BY page) % 2 = 1 AS merges FROM r),
+g AS (SELECT *, coalesce(lag(merges) OVER (PARTITION BY doc_id ORDER BY page), false) AS merged FROM m),
+stitched AS (SELECT doc_id, page, confidence, merges, CASE WHEN merges THEN text || ' ' || nx WHEN merged THEN '' ELSE text END AS text FROM g)
+"""
+
+
+@query(f"WITH {S.PAGE_CONF}, {_STITCH} SELECT doc_id, page, merges AS stitched, length(text)::INT AS n_chars, md5(text) AS digest FROM stitched")
+def page_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.stitch(S.page_conf(spark, sf_dir)).select("doc_id", "page", "stitched", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {S.FIXED_LINES},
+x AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nx FROM fixed_lines),
+e AS (SELECT *, coalesce(line LIKE '%-' AND nx IS NOT NULL, false) AS ok FROM x),
+r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM e),
+m AS (SELECT *, ok AND row_number() OVER (PARTITION BY doc_id, run, ok ORDER BY line_no) % 2 = 1 AS merges FROM r),
+g AS (SELECT *, coalesce(lag(merges) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS merged FROM m)
+SELECT doc_id, count(*) AS n_lines, count_if(merges)::BIGINT AS n_merged,
+       md5(string_agg(CASE WHEN merges THEN left(line, length(line) - 1) || regexp_replace(nx, '^\\s+', '') ELSE line END, chr(10) ORDER BY line_no)) AS digest
+FROM g WHERE NOT merged GROUP BY doc_id""")
+def hyphen_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.fixed_lines(spark, sf_dir)
+    before = lines.groupBy("doc_id").agg(F.count("*").alias("before"))
+    out = clean.join_lines(layout.merge_hyphens(lines, ["doc_id"]), ["doc_id"], ["line_no"]).join(before, "doc_id")
+    return out.select("doc_id", "n_lines", (F.col("before") - F.col("n_lines")).alias("n_merged"), F.md5("text").alias("digest"))
+
+
+_FLAGS = f"""array_to_string(list_filter([
+  CASE WHEN text = '' THEN 'No text extracted from this page.' END,
+  CASE WHEN coalesce(confidence, 1) < 0.4 THEN printf('Very low OCR confidence (%.2f). Page may be too blurry or low resolution.', confidence)
+       WHEN coalesce(confidence, 1) < 0.65 THEN printf('Low OCR confidence (%.2f). Review recommended.', confidence) END,
+  CASE WHEN {_WORDS.format('text')} BETWEEN 1 AND 9 THEN printf('Very little text extracted (%d words). Possible blank/decorative page.', {_WORDS.format('text')}) END
+], lambda x: x IS NOT NULL), ' | ')"""
+
+
+@query(f"WITH {S.PAGE_CONF}, {_STITCH} SELECT doc_id, page, {_FLAGS} AS warnings FROM stitched")
+def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = validate.stitch(S.page_conf(spark, sf_dir))
+    return pages.select("doc_id", "page", F.array_join(validate.page_flags(F.col("text"), F.col("confidence")), " | ").alias("warnings"))
+
+
+@query(f"""WITH {S.PAGE_CONF}, c AS (SELECT doc_id, round(avg(coalesce(confidence, CASE WHEN text <> '' THEN 0.95 ELSE 0 END)), 4) AS confidence FROM page_conf GROUP BY doc_id)
+SELECT doc_id, confidence, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS quality FROM c""")
+def doc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.document_confidence(S.page_conf(spark, sf_dir))
+
+
+_COVER = "cov AS (SELECT page, least((max(x1) - min(x0)) * (max(y1) - min(y0)) / 484704.0, 1.0) AS coverage FROM blocks GROUP BY page)"
+
+
+@query(f"WITH {S.BLOCKS}, {_COVER} SELECT page, round(coverage, 6) AS coverage FROM cov")
+def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classify.text_coverage(S.blocks(spark, sf_dir), ["page"], F.lit(612.0 * 792.0))
+    return out.select("page", F.round("coverage", 6).alias("coverage"))
+
+
+_CLASSIFIED = f"""{S.WORD_PAGES}, {S.BLOCKS}, {_COVER},
+cls AS (SELECT doc_id, word_pages.page, length(text)::INT AS chars, coalesce(coverage, 0) AS coverage FROM
+        (SELECT doc_id, page, CASE WHEN (doc_id + page) % 4 = 0 THEN '' ELSE text END AS text FROM word_pages) word_pages LEFT JOIN cov ON cov.page = doc_id * 3 + word_pages.page),
+typed AS (SELECT doc_id, page, chars, round(coverage, 6) AS coverage, CASE WHEN (chars >= 20 AND coverage > 0.005) OR coverage > 0.01 THEN 'digital' ELSE 'scanned' END AS pdf_type FROM cls)"""
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when((F.col("doc_id") + F.col("page")) % 4 == 0, "").otherwise(F.col("text"))
+    cover = classify.text_coverage(S.blocks(spark, sf_dir), ["page"], F.lit(612.0 * 792.0)).withColumnRenamed("page", "at")
+    pages = S.word_pages(spark, sf_dir).withColumn("text", text).withColumn("at", F.col("doc_id") * 3 + F.col("page")).join(cover, "at", "left")
+    chars, coverage = classify.char_count(F.col("text"), F.lit(None), F.lit(None), F.lit(None)), F.coalesce("coverage", F.lit(0.0))
+    return pages.select("doc_id", "page", "text", chars.alias("chars"), coverage.alias("coverage"), classify.page_type(chars, coverage, T.has_gujarati(F.col("text"))).alias("pdf_type"))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, page, chars, coverage, pdf_type FROM typed")
+def page_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir).select("doc_id", "page", "chars", F.round("coverage", 6).alias("coverage"), "pdf_type")
+
+
+@query(f"""WITH {_CLASSIFIED} SELECT doc_id, count_if(pdf_type = 'digital')::BIGINT AS digital_page_count, count_if(pdf_type = 'scanned')::BIGINT AS scanned_page_count, count(*) AS total_pages,
+CASE WHEN bool_and(pdf_type = 'digital') THEN 'digital' WHEN bool_and(pdf_type = 'scanned') THEN 'scanned' ELSE 'mixed' END AS overall_type FROM typed GROUP BY doc_id""")
+def doc_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.document_type(_typed(spark, sf_dir))
+
+
+@query(f"""WITH {S.BLOCKS}, n AS (SELECT page, count_if((x0 + x1) / 2 < 306) AS l, count_if((x0 + x1) / 2 >= 306) AS r FROM blocks GROUP BY page)
+SELECT page, CASE WHEN least(l, r) > 0 AND least(l, r) / greatest(l, r) > 0.3 THEN 2 ELSE 1 END AS n_columns FROM n""")
+def column_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.columns_of(S.blocks(spark, sf_dir), ["page"])
+
+
+_TOTAL = f"WITH RECURSIVE {S.BLOCKS}, "
+_FOLD = """
+s AS (SELECT {part}, x0, y0, ord, text, row_number() OVER (PARTITION BY {part} ORDER BY y0, ord, x0) AS k FROM {src}),
+f AS (SELECT {part}, x0, y0, ord, text, k, y0 AS anchor, 0 AS grp FROM s WHERE k = 1
+      UNION ALL SELECT {sp}, s.x0, s.y0, s.ord, s.text, s.k, CASE WHEN abs(s.y0 - f.anchor) > 5 THEN s.y0 ELSE f.anchor END, f.grp + CASE WHEN abs(s.y0 - f.anchor) > 5 THEN 1 ELSE 0 END
+      FROM f JOIN s ON {on} AND s.k = f.k + 1)
+"""
+
+
+@query(_TOTAL + _FOLD.format(part="page", sp="s.page", src="blocks", on="s.page = f.page") + " SELECT page, (max(grp) + 1)::INT AS n_rows, string_agg(text || ord, ' ' ORDER BY grp, x0, y0, ord) AS reading FROM f GROUP BY page")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = layout.reading_order(S.blocks(spark, sf_dir), ["page"])
+    return _reading(placed, (F.max("row") + 1).cast("int").alias("n_rows"))
+
+
+def _reading(placed: DataFrame, *more: Column) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("position", F.concat("text", F.col("ord").cast("string")).alias("t"))))
+    return placed.groupBy("page").agg(*more, F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("reading"))
+
+
+@query(
+    _TOTAL
+    + """n AS (SELECT page, count_if((x0 + x1) / 2 < 306) AS l, count_if((x0 + x1) / 2 >= 306) AS r FROM blocks GROUP BY page),
+c AS (SELECT blocks.*, CASE WHEN least(l, r) > 0 AND least(l, r) / greatest(l, r) > 0.3 AND (x0 + x1) / 2 >= 306 THEN 1 ELSE 0 END AS col FROM blocks JOIN n USING (page)),"""
+    + _FOLD.format(part="page, col", sp="s.page, s.col", src="c", on="s.page = f.page AND s.col = f.col")
+    + " SELECT page, string_agg(text || ord, ' ' ORDER BY col, grp, x0, y0, ord) AS reading FROM f GROUP BY page"
+)
+def reading_order_2col(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reading(layout.reading_order_columns(S.blocks(spark, sf_dir), ["page"]))
+
+
+_LINES = """
+h AS (SELECT page, list_sort(list(greatest(y1 - y0, 0)))[(count(*) // 2 + 1)::INT] AS height FROM blocks GROUP BY page),
+b AS (SELECT blocks.*, height, max(y1) OVER (PARTITION BY page ORDER BY y0, x0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bottom FROM blocks JOIN h USING (page)),
+l AS (SELECT *, sum(CASE WHEN y0 > bottom + greatest(3, height * 0.7) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, x0, ord ROWS UNBOUNDED PRECEDING) AS line FROM b),
+ln AS (SELECT page, line, min(y0) AS top, max(y1) AS bottom, max(height) AS height, string_agg(text, ' ' ORDER BY x0, y0, ord, text) AS text FROM l GROUP BY page, line)
+"""
+
+
+@query(f"WITH {S.BLOCKS}, {_LINES} SELECT page, line::BIGINT AS line, round(top, 4) AS top, round(bottom, 4) AS bottom, text FROM ln")
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = layout.word_lines(S.blocks(spark, sf_dir), ["page"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "ord", "text"))), lambda x: x["text"]), " ")
+    return w.groupBy("page", "line").agg(F.round(F.min("y0"), 4).alias("top"), F.round(F.max("y1"), 4).alias("bottom"), text.alias("text"))
+
+
+@query(f"""WITH {S.BLOCKS}, {_LINES},
+g AS (SELECT *, top - lag(bottom) OVER (PARTITION BY page ORDER BY line) > greatest(8, height * 1.4) AS new FROM ln),
+p AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY line) AS paragraph FROM g)
+SELECT page, paragraph::BIGINT AS paragraph, string_agg(text, ' ' ORDER BY line) AS text FROM p GROUP BY page, paragraph""")
+def word_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.word_paragraphs(S.blocks(spark, sf_dir), ["page"])
+
+
+@query(f"""WITH {S.BLOCKS},
+g AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY page ORDER BY y0, x0, ord) > 15.6 AS new FROM blocks),
+p AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, x0, ord) AS paragraph FROM g)
+SELECT page, paragraph::BIGINT AS paragraph, string_agg(text, ' ' ORDER BY y0, x0, ord) AS text FROM p GROUP BY page, paragraph""")
+def block_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = S.blocks(spark, sf_dir).withColumn("position", F.struct("y0", "x0", "ord"))
+    return layout.block_paragraphs(b, ["page"])
+
+
+@query(f"""WITH {S.DOC_LINES},
+t AS (SELECT doc_id, line_no, {_S} AS line FROM (SELECT doc_id, line_no, CASE WHEN line_no % 5 IN (2, 3) THEN '' ELSE line END AS line FROM doc_lines)),
+g AS (SELECT *, line_no - lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) > 2 AS new FROM t WHERE line <> ''),
+p AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS paragraph FROM g)
+SELECT doc_id, paragraph::BIGINT AS paragraph, md5(string_agg(line, ' ' ORDER BY line_no)) AS digest FROM p GROUP BY doc_id, paragraph""")
+def blank_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.doc_lines(spark, sf_dir).withColumn("line", F.when((F.col("line_no") % 5).isin(2, 3), "").otherwise(F.col("line")))
+    return layout.blank_paragraphs(lines, ["doc_id"]).select("doc_id", "paragraph", F.md5("text").alias("digest"))
+
+
+_CLUSTER = """
+d AS (SELECT DISTINCT page, y0 AS y FROM blocks), s AS (SELECT page, y, row_number() OVER (PARTITION BY page ORDER BY y) AS k FROM d),
+f AS (SELECT page, y, k, y AS kept FROM s WHERE k = 1 UNION ALL SELECT s.page, s.y, s.k, CASE WHEN s.y - f.kept > 10 THEN s.y ELSE f.kept END FROM f JOIN s ON s.page = f.page AND s.k = f.k + 1),
+dx AS (SELECT DISTINCT page, x0 AS y FROM blocks), sx AS (SELECT page, y, row_number() OVER (PARTITION BY page ORDER BY y) AS k FROM dx),
+fx AS (SELECT page, y, k, y AS kept FROM sx WHERE k = 1 UNION ALL SELECT sx.page, sx.y, sx.k, CASE WHEN sx.y - fx.kept > 10 THEN sx.y ELSE fx.kept END FROM fx JOIN sx ON sx.page = fx.page AND sx.k = fx.k + 1)
+"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = S.blocks(spark, sf_dir).groupBy("page").agg(F.collect_set("y0").alias("ys"), F.collect_set("x0").alias("xs"))
+    return g.select("page", tables.cluster(F.col("ys")).alias("row_ys"), tables.cluster(F.col("xs")).alias("col_xs"))
+
+
+@query(f"WITH RECURSIVE {S.BLOCKS}, {_CLUSTER}, c AS (SELECT DISTINCT page, kept AS y FROM f), p AS (SELECT page, y, y - lag(y) OVER (PARTITION BY page ORDER BY y) > 30 AS new FROM c) SELECT page, y, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y)::BIGINT AS part FROM p")
+def grid_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.split_by_gap(_grid(spark, sf_dir).select("page", F.explode("row_ys").alias("y")), ["page"])
+
+
+@query(f"""WITH RECURSIVE {S.BLOCKS}, {_CLUSTER},
+r AS (SELECT page, y AS lo, lead(y) OVER (PARTITION BY page ORDER BY y) AS hi, row_number() OVER (PARTITION BY page ORDER BY y) - 1 AS "row" FROM (SELECT DISTINCT page, kept AS y FROM f)),
+c AS (SELECT page, y AS lo, lead(y) OVER (PARTITION BY page ORDER BY y) AS hi, row_number() OVER (PARTITION BY page ORDER BY y) - 1 AS col FROM (SELECT DISTINCT page, kept AS y FROM fx))
+SELECT b.page, "row"::INT AS "row", col::INT AS col, string_agg(text, ' ' ORDER BY ord, text) AS text FROM blocks b
+JOIN r ON r.page = b.page AND (y0 + y1) / 2 >= r.lo AND (y0 + y1) / 2 < r.hi JOIN c ON c.page = b.page AND (x0 + x1) / 2 >= c.lo AND (x0 + x1) / 2 < c.hi GROUP BY ALL""")
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = S.blocks(spark, sf_dir).select("page", "ord", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    return tables.to_cells(tokens, _grid(spark, sf_dir), ["page"])
+
+
+_CELLS = """cells AS (SELECT o_custkey AS tbl, o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN [o_orderstatus, ' '] WHEN o_orderkey % 7 = 0 THEN [o_orderstatus]
+  ELSE [o_orderstatus, o_orderpriority] END AS r FROM orders), t AS (SELECT tbl, list(r ORDER BY k) AS rs, count(*) AS n FROM cells GROUP BY tbl)"""
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    row = F.when(k % 5 == 0, F.array(s, F.lit(" "))).when(k % 7 == 0, F.array(s)).otherwise(F.array(s, F.col("o_orderpriority")))
+    t = S.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("tbl")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("r")))), lambda x: x["r"]).alias("rs"))
+    return t.select("tbl", F.when(F.col("tbl") % 9 != 0, F.array(F.lit("status"), F.lit("priority"))).alias("headers"), F.when(F.col("tbl") % 10 != 0, F.col("rs")).alias("rows"))
+
+
+@query(f"""WITH {_CELLS}, c AS (SELECT tbl, list_concat(CASE WHEN tbl % 9 <> 0 THEN ['status', 'priority'] ELSE [] END, CASE WHEN tbl % 10 <> 0 THEN flatten(rs) ELSE [] END) AS cs FROM t)
+SELECT tbl, CASE WHEN len(cs) = 0 THEN 0.0 ELSE round(len(list_filter(cs, lambda x: trim(x) <> '')) / len(cs), 4) END AS fill_rate FROM c""")
+def table_fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir).select("tbl", validate.fill_rate(F.col("headers"), F.col("rows")).alias("fill_rate"))
+
+
+@query(f"""WITH {_CELLS}, x AS (SELECT tbl, CASE WHEN tbl % 9 = 0 OR tbl % 10 = 0 THEN
+  list_filter([CASE WHEN tbl % 9 = 0 THEN 'Table has no headers.' END, CASE WHEN tbl % 10 = 0 THEN 'Table has no data rows.' END], lambda x: x IS NOT NULL)
+  ELSE list_transform(list_filter(range(1, n + 1), lambda i: len(rs[i]) <> 2), lambda i: 'Row ' || i || ' has ' || len(rs[i]) || ' cells, expected 2.') END AS issues FROM t)
+SELECT tbl, len(issues) = 0 AS valid, array_to_string(issues, ' ') AS issues FROM x""")
+def table_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = validate.table_issues(F.col("headers"), F.col("rows"))
+    return _tables(spark, sf_dir).select("tbl", (F.size(issues) == 0).alias("valid"), F.array_join(issues, " ").alias("issues"))
+
+
+@query(f"""WITH {S.PAGE_CONF}, {_STITCH}
+SELECT doc_id, md5(string_agg('[Page ' || page || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page)) AS digest FROM stitched WHERE text <> '' GROUP BY doc_id""")
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.full_text(validate.stitch(S.page_conf(spark, sf_dir))).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {S.PAGE_CONF}, {_STITCH}, ww AS (SELECT doc_id, page, unnest(string_split({_FLAGS}, ' | ')) AS warning, generate_subscripts(string_split({_FLAGS}, ' | '), 1) AS i FROM stitched),
+a AS (SELECT doc_id, list('Page ' || page || ': ' || warning ORDER BY page, i) FILTER (warning <> '') AS ws FROM ww GROUP BY doc_id)
+SELECT doc_id, md5(array_to_string(coalesce(ws, [])[1:50], ' | ')) AS digest, coalesce(len(ws), 0) > 50 AS warnings_truncated, coalesce(len(ws), 0)::INT AS total_warning_count FROM a""")
+def warnings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = validate.stitch(S.page_conf(spark, sf_dir)).withColumn("warnings", validate.page_flags(F.col("text"), F.col("confidence")))
+    return validate.warnings_rollup(pages).select("doc_id", F.md5(F.array_join("warnings", " | ")).alias("digest"), "warnings_truncated", "total_warning_count")
+
+
+_RESULTS = "res AS (SELECT doc_id AS job_id, sha256(text) AS sha256, CASE WHEN doc_id % 4 = 0 THEN 'failed' ELSE 'done' END AS status, doc_id % 3 <> 0 AS fresh FROM documents WHERE doc_id % 2 = 0)"
+
+
+@query(f"""WITH {_RESULTS}, f AS (SELECT sha256, min(job_id) AS cached FROM res WHERE fresh AND status = 'done' GROUP BY sha256)
+SELECT doc_id AS job_id, CASE WHEN cached < doc_id THEN cached END AS cached_job, CASE WHEN cached < doc_id THEN 'reuse' ELSE 'process' END AS action FROM documents LEFT JOIN f ON f.sha256 = sha256(text)""")
+def upload_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.sha2("text", 256).alias("sha256"))
+    as_of = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    until = F.when(F.col("job_id") % 3 != 0, as_of + F.expr("INTERVAL 1 HOUR")).otherwise(as_of - F.expr("INTERVAL 1 HOUR"))
+    results = d.where("job_id % 2 = 0").withColumns({"status": F.when(F.col("job_id") % 4 == 0, "failed").otherwise("done"), "expires_at": until})
+    return jobs.reuse(d, results, as_of).select("job_id", "cached_job", "action")
+
+
+_STATUS = """j AS (SELECT job_id, u.job_id IS NOT NULL AS up, r.status AS r_status, s.state AS w_status,
+  CASE WHEN r.job_id IS NULL THEN NULL WHEN expires_at IS NOT NULL THEN expires_at <= as_of ELSE floor(epoch(as_of)) - floor(epoch(r.modified)) > 7200 END AS gone
+  FROM uploads u FULL JOIN results r USING (job_id) FULL JOIN states s USING (job_id) CROSS JOIN clock),
+st AS (SELECT job_id, CASE WHEN gone THEN 'expired' WHEN r_status IS NOT NULL THEN r_status WHEN NOT up THEN 'unknown' WHEN w_status IS NOT NULL THEN w_status ELSE 'processing' END AS status,
+  CASE WHEN gone THEN 0.0 WHEN r_status IS NOT NULL THEN 100.0 WHEN NOT up THEN 0.0 WHEN w_status IS NOT NULL THEN 40.0 ELSE 5.0 END::DOUBLE AS progress FROM j)"""
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads, states, results = S.jobs(spark, sf_dir)
+    clock = S.read(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("as_of")).first().as_of
+    return jobs.status(uploads, states, results, F.lit(clock).cast("timestamp_ntz"))
+
+
+@query(f"WITH {S.JOBS}, {_STATUS} SELECT job_id, status, progress FROM st")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir)
+
+
+@query(f"""WITH {S.JOBS}, {_STATUS} SELECT job_id, CASE status WHEN 'unknown' THEN 404 WHEN 'expired' THEN 410 WHEN 'done' THEN 200 WHEN 'processing' THEN 202 WHEN 'pending' THEN 202 ELSE 500 END AS http_status FROM st""")
+def job_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir).select("job_id", jobs.http_status(F.col("status")).alias("http_status"))
+
+
+@query(f"WITH {S.JOBS} SELECT job_id, floor(epoch(as_of))::BIGINT - floor(epoch(modified))::BIGINT AS age FROM uploads CROSS JOIN clock WHERE floor(epoch(as_of))::BIGINT - floor(epoch(modified))::BIGINT > 3600")
+def ttl_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clock = F.lit(S.read(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("as_of")).first().as_of).cast("timestamp_ntz")
+    age = F.unix_timestamp(clock.cast("timestamp")) - F.unix_timestamp(F.col("modified").cast("timestamp"))
+    return jobs.stale_uploads(S.jobs(spark, sf_dir)[0], clock).select("job_id", age.alias("age"))
+
+
+@query(f"WITH {S.WORD_PAGES}, n AS (SELECT doc_id, count(*) AS pages FROM word_pages GROUP BY doc_id) SELECT doc_id, pages, least(150, CASE WHEN pages <= 10 THEN 150 WHEN pages <= 30 THEN 120 ELSE 100 END)::INT AS dpi FROM n")
+def dpi_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = S.word_pages(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("pages"))
+    return n.withColumn("dpi", classify.dpi(F.col("pages"), F.lit(150)))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, page, pdf_type, CASE WHEN pdf_type = 'digital' THEN 0.95::DOUBLE END AS confidence FROM typed")
+def union_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digital, scanned = classify.route(_typed(spark, sf_dir).select("doc_id", "page", "pdf_type"))
+    return classify.unite(digital.withColumn("confidence", F.lit(0.95)), scanned)
+
+
+_W = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'))"
+_A = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}]'))"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, 0 AS ord, text FROM documents UNION ALL SELECT doc_id, 1, upper(text) FROM documents UNION ALL SELECT doc_id, 2, replace(text, ' ', chr(10)) FROM documents),
+s AS (SELECT doc_id, ord, {_STRIP.format('text')} AS t FROM c), l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: {_STRIP.format('x')} <> '') AS ls FROM s),
+k AS (SELECT doc_id, ord, length(t) AS n, CASE WHEN t = '' THEN -1e9 ELSE {_A.format('t')} + {_W.format('t')} * 2.0 + len(ls) * 3.0
+  - len(list_filter(ls, lambda x: {_WORDS.format('x')} = 1)) * 2.5 - len(list_filter(ls, lambda x: length(x) <= 2)) * 4.0 - len(regexp_extract_all(t, '  ')) * 0.5 END::DOUBLE AS score FROM l)
+SELECT doc_id, arg_max(ord, {{'s': score, 'o': -ord}})::INT AS ord, round(max(score), 2) AS score FROM k GROUP BY doc_id""")
+def text_candidate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    three = F.array(*[F.struct(F.lit(i).alias("ord"), c.alias("text")) for i, c in enumerate((text, F.upper(text), F.replace(text, F.lit(" "), F.lit("\n"))))])
+    c = S.read(spark, sf_dir, "documents").select("doc_id", F.explode(three).alias("c")).select("doc_id", "c.*")
+    return classify.best_candidate(c, ["doc_id"]).select("doc_id", "ord", F.round("score", 2).alias("score"))
+
+
+@query(rf"""WITH {S.PAGE_CONF}, n AS (SELECT doc_id, page, coalesce(confidence, 0.2) AS c, text, length(regexp_replace(text, '\s', '', 'g')) AS n, len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '\p{{Nd}}')) AS r FROM page_conf)
+SELECT doc_id, page, round(least(greatest(c * 0.5 + r / n * 0.35, 0), 1), 4) AS score, c >= 0.25 AND (length(text) >= 8 OR {_WORDS.format('text')} >= 2) AS good FROM n""")
+def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.coalesce("confidence", F.lit(0.2))
+    return S.page_conf(spark, sf_dir).select("doc_id", "page", T.ocr_score(F.col("text"), c).alias("score"), T.ocr_good(F.col("text"), c).alias("good"))
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_STRIP.format('text')} AS t FROM documents), l AS (SELECT *, len(list_filter(string_split(t, chr(10)), lambda x: {_STRIP.format('x')} <> '')) AS n, {_W.format('t')} AS w, {_A.format('t')} AS a FROM s)
+SELECT doc_id, t <> '' AND (a >= 10 OR w >= 3 OR length(t) >= 20) AS reasonable, t <> '' AND (a >= 10 OR w >= 3 OR length(t) >= 20) AND n <= 6 AND w >= 5 AS fast_accept FROM l""")
+def accept_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read(spark, sf_dir, "documents").select("doc_id", T.looks_reasonable(F.col("text")).alias("reasonable"), T.fast_accept(F.col("text")).alias("fast_accept"))
+
+
+@query()
+def near_dup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    lines = clean.remove_noise(S.doc_lines(spark, sf_dir).drop("source"))
+    out = clean.join_lines(clean.drop_near(lines, ["doc_id"]), ["doc_id"], ["line_no"])
+    return out.select("doc_id", "n_lines", F.md5("text").alias("digest"))
+
+
+@query()
+def nfkc_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    d = S.read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(T.normalize_whitespace(T.clean_line(F.col("text"), unicode=True))).alias("digest"))
+
+
+@query()
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read(spark, sf_dir, "documents").select("doc_id", "lang", T.detect_language(F.col("text")).alias("detected"))
+
+
+@query()
+def pdf_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts put into a minimal content stream and read back."""
+    body = F.regexp_replace(F.substring("text", 1, 200), r"[^A-Za-z0-9 .,]", "")
+    pdf = F.encode(F.concat(F.lit("%PDF-1.4\nBT /F1 12 Tf ("), body, F.lit(") Tj ET\n%%EOF")), "ISO-8859-1")
+    d = S.read(spark, sf_dir, "documents").select("doc_id", body.alias("body"), pdf.alias("content"))
+    return d.select("doc_id", (literal_text(F.col("content")) == F.col("body")).alias("same"), upload_error(F.lit("x.pdf"), F.length("content"), F.col("content")).alias("error"))
+
+
+@query()
+def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: every document's pages cleaned, stitched, scored and put together."""
+    ship(spark)
+    pages = S.page_conf(spark, sf_dir).withColumn("pdf_type", F.when(F.col("confidence") < 0.5, "scanned").otherwise("digital"))
+    r = extract(pages)
+    return r.select("doc_id", "status", "confidence", "language", F.size("pages").alias("n_pages"), F.md5("text").alias("digest"), "metadata.overall_type", "metadata.quality", "metadata.total_warning_count")
