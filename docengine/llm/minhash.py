@@ -17,6 +17,8 @@ from docengine.llm.store import table, tune
 
 #: Chance that the banding misses a pair exactly at the threshold.
 MISS = 1e-6
+#: Pivots that a bucket is compared with before what is left of it is listed.
+PIVOTS = 2
 _BLOCK = 1 << 15
 
 
@@ -129,7 +131,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     than doc_id and text are ignored.
 
     Documents with equal sets collapse before banding. Candidates of a band's bucket are not
-    expanded into pairs: in turn, two pivots of each bucket are compared with its members, links
+    expanded into pairs: in turn, PIVOTS members of each bucket that share most buckets with others are compared with all of it, links
     are united, and only pairs that are then still in different components, share a bucket and have
     not been compared are listed and compared. So no link between components is lost, whatever a
     bucket's size, and a bucket of one group costs a row per member. A pair must pass the length
@@ -148,10 +150,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     same = table(usable.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
     reps = usable.select("id", "n", "keys").join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     entries = reps.select("id", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("p")).where("c > 1").drop("c")
-    buckets = table(
-        entries.join(shared, "key").select("key", "id", "n", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "buckets"
-    )
+    counted = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    crowded = table(entries.join(counted, "key"), "crowded")
+    # what a group's copies derive from shares more buckets with them than they do with each other
+    crowd = crowded.groupBy("id").agg(F.sum("c").alias("pop"))
+    known = table(crowded.select("key", "id", "n").join(crowd, "id"), "members")
+    pivots = known.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("o"), "id", "n")).alias("p"))
+    buckets = table(known.join(pivots, "key").select("key", "id", "n", "pop", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "buckets")
 
     def alike(x: Column, y: Column) -> Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -182,11 +187,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     def labelled(links: DataFrame) -> DataFrame:
         """Buckets that still hold several components, with each member's one."""
         c = components(links).select(F.col("node").alias("id"), "component")
-        rows_ = buckets.select("key", "id", "n").join(c, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-        ends = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max(F.struct("label", "id", "n")).alias("hi"))
-        return rows_.join(ends.where("lo < hi.label"), "key").select(
-            "key", "id", "n", "label", F.col("hi.id").alias("pid"), F.col("hi.n").alias("pn"), F.col("hi.label").alias("plabel")
-        )
+        rows_ = buckets.select("key", "id", "n", "pop", "pid").join(c, "id", "left").withColumn("label", F.coalesce("component", "id"))
+        first = F.max(F.when(F.col("id") == F.col("pid"), F.col("label"))).alias("first")
+        ends = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi")
+        many = rows_.drop("pid").join(ends, "key")
+        # the most popular member outside the first pivot's component
+        other = many.where(F.col("label") != F.col("first")).groupBy("key").agg(F.max(F.struct("pop", "label", "id", "n")).alias("p"))
+        return many.join(other, "key").select("key", "id", "n", "label", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
 
     def classes(found: DataFrame) -> DataFrame:
         copies = usable.select("id", "n", "f1", "f2").join(same, ["n", "f1", "f2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
@@ -201,12 +208,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     open_ = table(labelled(links), "open")
     if open_.isEmpty():
         return classes(links)
-    more = open_.where(F.col("label") != F.col("plabel")).where(alike(F.col("n"), F.col("pn")))
-    more = more.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    again, found = verified(more)
-    done, links = done.union(again), links.union(found)
-    left = table(labelled(links).select("key", "id", "n", "label"), "left")
-    x, y = left.alias("x"), left.alias("y")
+    for _ in range(PIVOTS - 1):
+        more = open_.where(F.col("label") != F.col("plabel")).where(alike(F.col("n"), F.col("pn")))
+        more = more.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        again, found = verified(more)
+        done, links = done.union(again), links.union(found)
+        open_ = table(labelled(links), "open")
+        if open_.isEmpty():
+            return classes(links)
+    x, y = open_.alias("x"), open_.alias("y")
     rest = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")))
         .where(alike(F.col("x.n"), F.col("y.n")))
