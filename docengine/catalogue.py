@@ -357,20 +357,20 @@ _W = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'))"
 _A = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}]'))"
 
 
-@query(rf"""WITH c AS (SELECT doc_id, 0 AS ord, text FROM documents UNION ALL SELECT doc_id, 1, upper(text) FROM documents UNION ALL SELECT doc_id, 2, replace(text, ' ', chr(10)) FROM documents),
+@query(rf"""WITH c AS (SELECT doc_id, 0 AS ord, text FROM documents UNION ALL SELECT doc_id, 1, lower(text) FROM documents UNION ALL SELECT doc_id, 2, replace(text, ' ', chr(10)) FROM documents),
 s AS (SELECT doc_id, ord, {_STRIP.format('text')} AS t FROM c), l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: {_STRIP.format('x')} <> '') AS ls FROM s),
 k AS (SELECT doc_id, ord, length(t) AS n, CASE WHEN t = '' THEN -1e9 ELSE {_A.format('t')} + {_W.format('t')} * 2.0 + len(ls) * 3.0
   - len(list_filter(ls, lambda x: {_WORDS.format('x')} = 1)) * 2.5 - len(list_filter(ls, lambda x: length(x) <= 2)) * 4.0 - len(regexp_extract_all(t, '  ')) * 0.5 END::DOUBLE AS score FROM l)
 SELECT doc_id, arg_max(ord, {{'s': score, 'o': -ord}})::INT AS ord, round(max(score), 2) AS score FROM k GROUP BY doc_id""")
 def text_candidate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    three = F.array(*[F.struct(F.lit(i).alias("ord"), c.alias("text")) for i, c in enumerate((text, F.upper(text), F.replace(text, F.lit(" "), F.lit("\n"))))])
+    three = F.array(*[F.struct(F.lit(i).alias("ord"), c.alias("text")) for i, c in enumerate((text, F.lower(text), F.replace(text, F.lit(" "), F.lit("\n"))))])
     c = S.read(spark, sf_dir, "documents").select("doc_id", F.explode(three).alias("c")).select("doc_id", "c.*")
     return classify.best_candidate(c, ["doc_id"]).select("doc_id", "ord", F.round("score", 2).alias("score"))
 
 
 @query(rf"""WITH {S.PAGE_CONF}, n AS (SELECT doc_id, page, coalesce(confidence, 0.2) AS c, text, length(regexp_replace(text, '\s', '', 'g')) AS n, len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '\p{{Nd}}')) AS r FROM page_conf)
-SELECT doc_id, page, round(least(greatest(c * 0.5 + r / n * 0.35, 0), 1), 4) AS score, c >= 0.25 AND (length(text) >= 8 OR {_WORDS.format('text')} >= 2) AS good FROM n""")
+SELECT doc_id, page, round(least(greatest(c * 0.5 + r / n * 0.35, 0), 1) + 1e-9, 4) AS score, c >= 0.25 AND (length(text) >= 8 OR {_WORDS.format('text')} >= 2) AS good FROM n""")
 def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.coalesce("confidence", F.lit(0.2))
     return S.page_conf(spark, sf_dir).select("doc_id", "page", T.ocr_score(F.col("text"), c).alias("score"), T.ocr_good(F.col("text"), c).alias("good"))

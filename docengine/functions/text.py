@@ -124,8 +124,8 @@ def ocr_score(text: Column, confidence: Column) -> Column:
     n = F.length(F.regexp_replace(text, BLANK, ""))
     guj = F.regexp_count(text, F.lit(GUJARATI))
     readable = guj + F.regexp_count(text, F.lit(r"[A-Za-z]")) + F.regexp_count(text, F.lit(r"\p{Nd}"))
-    score = confidence * 0.5 + readable / n * 0.35 + guj / n * 0.15
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4))
+    score = confidence * F.lit(0.5) + readable / n * F.lit(0.35) + guj / n * F.lit(0.15)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)) + F.lit(1e-9), 4))
 
 
 def ocr_good(text: Column, confidence: Column) -> Column:
@@ -146,10 +146,14 @@ STOP_WORDS = {
 }
 
 
+def _among(found: list[str]):
+    return lambda w: w.isin(found)
+
+
 def detect_language(text: Column) -> Column:
     """The language whose frequent words are most among the first 500 characters; "unknown" under 20 characters or without any."""
     s = strip(text)
     ws = words(F.lower(F.regexp_replace(F.substring(s, 1, 500), r"[^\p{L}\s]", " ")))
-    scores = [F.struct(F.size(F.filter(ws, lambda w, v=v: w.isin(v))).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(STOP_WORDS.items())]
+    scores = [F.struct(F.size(F.filter(ws, _among(v))).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(STOP_WORDS.items())]
     best = F.array_max(F.array(*scores))
     return F.when((F.length(s) < 20) | (best["n"] == 0), "unknown").otherwise(best["lang"])

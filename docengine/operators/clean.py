@@ -70,7 +70,12 @@ def drop_near(lines: DataFrame, keys: list[str], order: str = "line_no") -> Data
     What is kept depends on what was kept before, so each group is one pass of an Arrow function; groups are pages or
     documents, not the corpus.
     """
-    return lines.groupBy(*keys).applyInPandas(lambda f: _near(f.sort_values(order, kind="stable")), lines.schema)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*keys[1:], order], kind="stable")
+        return _near(frame) if len(keys) == 1 else pd.concat([_near(part) for _, part in frame.groupby(keys[1:], sort=False)])
+
+    return lines.groupBy(keys[0]).applyInPandas(run, lines.schema)
 
 
 def join_lines(lines: DataFrame, keys: list[str], order: list[str], sep: str = "\n") -> DataFrame:

@@ -16,11 +16,26 @@ def extract(pages: DataFrame, near: bool = True) -> DataFrame:
     """
     cleaned = clean.clean_pages(pages, near).join(pages.select("doc_id", "page", "confidence", "pdf_type"), ["doc_id", "page"])
     done = validate.stitch(cleaned).withColumn("warnings", validate.page_flags(F.col("text"), F.col("confidence")))
-    kinds = classify.document_type(pages)
-    whole = clean.clean_text(clean.full_text(done), "doc_id", near=near)
-    page = F.struct("page", "text", "confidence", "warnings")
-    nested = done.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    out = nested.join(validate.document_confidence(done), "doc_id").join(validate.warnings_rollup(done), "doc_id").join(kinds, "doc_id").join(whole, "doc_id", "left")
+    own = F.transform("warnings", lambda w: F.format_string("Page %d: %s", F.col("page"), w))
+    known = F.coalesce("confidence", F.when(F.col("text") != "", 0.95).otherwise(0.0))
+    out = done.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("page", "text", "confidence", "warnings", own.alias("own")))).alias("pages"),
+        F.round(F.avg(known), 4).alias("confidence"),
+        F.count_if(F.col("pdf_type") == "digital").alias("digital"),
+        F.count_if(F.col("pdf_type") == "scanned").alias("scanned_page_count"),
+        F.count("*").alias("total_pages"),
+    )
+    warned = F.flatten(F.transform("pages", lambda p: p["own"]))
+    solid = F.filter("pages", lambda p: T.strip(p["text"]) != "")
+    marked = F.array_join(F.transform(solid, lambda p: F.format_string("[Page %d]\n%s", p["page"], p["text"])), "\n\n---\n\n")
+    kind = F.when(F.col("digital") == F.col("total_pages"), "digital").when(F.col("scanned_page_count") == F.col("total_pages"), "scanned").otherwise("mixed")
+    out = out.select(
+        "doc_id", "confidence", "scanned_page_count", "total_pages", kind.alias("overall_type"), validate.quality(F.col("confidence")).alias("quality"), marked.alias("marked"),
+        F.slice(warned, 1, validate.MOST_WARNINGS).alias("warnings"), (F.size(warned) > validate.MOST_WARNINGS).alias("warnings_truncated"), F.size(warned).alias("total_warning_count"),
+        F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"), p["confidence"].alias("confidence"), p["warnings"].alias("warnings"))).alias("pages"),
+    )
+    whole = clean.clean_text(out.select("doc_id", F.col("marked").alias("text")), "doc_id", near=near)
+    out = out.join(whole, "doc_id", "left")
     language = T.detect_language(F.coalesce("text", F.lit("")))
     return out.select(
         "doc_id", F.lit("done").alias("status"), F.coalesce("text", F.lit("")).alias("text"), "confidence", language.alias("language"), "pages",
