@@ -108,8 +108,8 @@ def _name(kind_: Column, stream: Column, turn: Column) -> Column:
     return out
 
 
-def surrogate(key: Column, kind_: Column, value: Column, turn: Column) -> Column:
-    stream = _stream(key, kind_, value, turn)
+def surrogate(kind_: Column, value: Column, turn: Column, stream: Column) -> Column:
+    """stream: a stored column of `_stream`; as an expression it would be worked out again for every letter."""
     made = _alike(value, stream)
     at = lambda i: F.element_at(stream, i)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -154,10 +154,12 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     smallest entity keeps one that several drew. Raises if that takes more than `rounds`.
     """
     space = F.when(F.col("kind").startswith("person"), "person").otherwise(F.col("kind"))
-    draw = surrogate(F.lit(key), F.col("kind"), F.col("norm"), F.col("turn"))
+    numbers = _stream(F.lit(key), F.col("kind"), F.col("norm"), F.col("turn"))
+    draw = surrogate(F.col("kind"), F.col("norm"), F.col("turn"), F.col("stream"))
     names = table(entities.select("kind", "norm").distinct(), "entities")
     real = names.select(space.alias("space"), F.lower("norm").alias("low")).distinct().withColumn("real", F.lit(True))
-    drawn = table(names.withColumn("turn", F.lit(0)).withColumn("made", draw), "drawn")
+    streams = table(names.withColumn("turn", F.lit(0)).withColumn("stream", numbers), "streams")
+    drawn = table(streams.select("kind", "norm", "turn", draw.alias("made")), "drawn")
     for _ in range(rounds):
         lowered = drawn.withColumns({"space": space, "low": F.lower("made")})
         owner = lowered.groupBy("space", "low").agg(F.min(F.struct("kind", "norm")).alias("owner"))
@@ -168,7 +170,8 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
         if checked.where("bad").isEmpty():
             return checked.select("kind", "norm", "made")
         again = checked.withColumn("turn", F.col("turn") + F.col("bad").cast("int"))
-        drawn = table(again.select("kind", "norm", "turn", F.when(F.col("bad"), draw).otherwise(F.col("made")).alias("made")), "drawn")
+        streams = table(again.withColumn("stream", numbers), "streams")
+        drawn = table(streams.select("kind", "norm", "turn", F.when(F.col("bad"), draw).otherwise(F.col("made")).alias("made")), "drawn")
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
