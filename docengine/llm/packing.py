@@ -102,7 +102,7 @@ def _pack(size: int, last: bool):
         head = np.concatenate([[0], np.cumsum(fill)])[bins[order]]
         offset = np.empty(len(bins), dtype=np.int64)
         offset[order] = running - lengths[order] - head
-        loose = (size - fill > SLACK * size) & (n > bound) & (not last)
+        loose = (size - fill > SLACK * size) & (not last)
         return frame.assign(bin=bins, offset=offset, loose=loose[bins], certified=n == bound)
 
     return run
@@ -113,9 +113,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, ids
 
     A document is its whole text's ids (null: empty) and end_id; only a document longer than
     `size` is cut. Pieces are dealt over partitions of about `part_rows` and packed there by best-fit decreasing.
-    A partition whose bins equal its lower bound is certified. In one with a gap, sequences with
-    free space give their pieces up; these meet those of other such partitions and are packed again,
-    until nothing is loose, one partition is left, or ROUNDS have passed. Every piece is placed
+    Where there are several, bounds of parts do not add up to that of the whole, so their sequences with free space
+    give their pieces up; these meet those of other partitions and are packed again, until nothing is loose, one
+    partition is left, or ROUNDS have passed. certified tells that the bins of the partition that packed a piece equal its lower bound. Every piece is placed
     once, offsets leave no gap. Null doc_ids and repeated rows are packed like any others; other columns are ignored;
     an empty table gives no rows.
     """
@@ -124,19 +124,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, ids
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = table(source.mapInPandas(_pieces(tokenizer, end_id, size, ids), columns + ", ids binary" * ids), "pieces")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
-    left, placed, before = all_.select(*names), [], 0
+    left, placed = all_.select(*names), []
     for r in range(ROUNDS):
         rows = left.count()
         if not rows:
             break
         parts = max(1, -(-rows // part_rows))
-        last = r == ROUNDS - 1 or (r > 0 and parts == 1 and before == 1)
+        last = r == ROUNDS - 1 or parts == 1
         part = F.pmod(F.xxhash64("doc_id", "piece", "row", "ids_crc32", F.lit(r)), F.lit(parts)).cast("int")
         packed = left.withColumn("part", part).groupBy("part").applyInPandas(_pack(size, last), columns + ", part int, bin long, offset long, loose boolean, certified boolean")
         packed = table(packed, "packed")
         number = F.lit(r << 60 if r < 8 else 0).cast("long") + F.col("part").cast("long") * F.lit(1 << 32) + F.col("bin")
         placed.append(packed.where("NOT loose").select(*names, number.alias("sequence_id"), "offset", "certified"))
-        left, before = packed.where("loose").select(*names), parts
+        left = packed.where("loose").select(*names)
         if last:
             break
     if not placed:
