@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, LongType
 
 from docengine.llm import words as W
 from docengine.llm.components import components
-from docengine.llm.store import table, tune
+from docengine.llm.store import among, table, tune
 
 #: Chance that the banding misses a pair exactly at the threshold.
 MISS = 1e-6
@@ -96,7 +96,7 @@ def _sets(shingle: int):
             texts, ids = frame["text"].tolist(), frame["id"].to_numpy()
             for lo, hi in W.batches(texts):
                 h, first = _shingles(texts[lo:hi], shingle)
-                yield pd.DataFrame({"id": ids[lo:hi], "items": [h[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]})
+                yield pd.DataFrame({"id": ids[lo:hi], "items": [h[first[i] : first[i + 1]].view(np.int64) for i in range(hi - lo)]})
 
     return run
 
@@ -106,7 +106,7 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two sorted arrays of distinct 64-bit values."""
     out = []
     for x, y in zip(a, b):
-        u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        u, v = x.view(np.uint64), y.view(np.uint64)
         if len(u) > len(v):
             u, v = v, u
         at = np.searchsorted(v, u)
@@ -132,9 +132,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 
     Documents with equal sets collapse before banding. Candidates of a band's bucket are not
     expanded into pairs: in turn, PIVOTS members of each bucket that share most buckets with others are compared with all of it, links
-    are united, and only pairs that are then still in different components, share a bucket and have
-    not been compared are listed and compared. So no link between components is lost, whatever a
-    bucket's size, and a bucket of one group costs a row per member. A pair must pass the length
+    are united. Members of buckets that then still hold several components meet by prefixes: with their
+    shingles ordered rarest first, the first one that two linked sets share leaves enough shingles
+    behind it in both, so only such entries of different components are paired and compared. No link
+    between components is lost, whatever a bucket's size; a bucket of one group costs a row per
+    member, and copies that are too far apart share no such entry. A pair must pass the length
     bound, the signature bound (five standard errors below the threshold) and the exact sets.
     """
     tune(docs.sparkSession)
@@ -161,12 +163,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     def alike(x: Column, y: Column) -> Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = among(source, ids).dropDuplicates(["id"])
+        return table(wanted.mapInPandas(_sets(shingle), "id long, items array<long>"), "items")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs compared, and the links among them."""
         pairs = table(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             return pairs, pairs
-        signs = signed.select("id", "n", "sig").dropDuplicates(["id"])
+        signs = table(among(signed.select("id", "sig"), ends(pairs)).dropDuplicates(["id"]), "signs")
         near = (
             pairs.join(signs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
             .join(signs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
@@ -174,23 +183,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
             .select("a", "b")
         )
         near = table(near, "near")
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        wanted = source.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        sets = table(wanted.mapInPandas(_sets(shingle), "id long, items binary"), "items")
+        sets = sets_of(ends(near))
         both = near.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b").join(
             sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a"
         )
-        size = (F.octet_length("ia") + F.octet_length("ib")) / 8
-        common = both.select("a", "b", size.cast("long").alias("total"), _common("ia", "ib").alias("common"))
+        common = both.select("a", "b", (F.size("ia") + F.size("ib")).cast("long").alias("total"), _common("ia", "ib").alias("common"))
         return pairs, table(common.where(f"100 * common >= {percent} * (total - common)").select("a", "b"), "links")
 
+    def prefixes(members: DataFrame) -> DataFrame:
+        """Shingles of each member, rarest first, as far as a link's first common shingle can lie."""
+        items = sets_of(members.select("id"))
+        flat = table(items.select("id", F.explode("items").alias("h")), "shingles")
+        often = flat.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+        order = flat.join(often, "h", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("s"))
+        room = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1
+        placed = members.join(order, "id").select("id", "n", "label", F.posexplode(F.slice("s", F.lit(1), room)).alias("pos", "e"))
+        return table(placed.where("e.c > 1").select("id", "n", "label", "pos", F.col("e.h").alias("h")), "prefixes")
+
     def labelled(links: DataFrame) -> DataFrame:
         """Buckets that still hold several components, with each member's one."""
         c = components(links).select(F.col("node").alias("id"), "component")
         rows_ = buckets.select("key", "id", "n", "pop", "pid").join(c, "id", "left").withColumn("label", F.coalesce("component", "id"))
         first = F.max(F.when(F.col("id") == F.col("pid"), F.col("label"))).alias("first")
-        ends = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi")
-        many = rows_.drop("pid").join(ends, "key")
+        span = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi")
+        many = rows_.drop("pid").join(span, "key")
         # the most popular member outside the first pivot's component
         other = many.where(F.col("label") != F.col("first")).groupBy("key").agg(F.max(F.struct("pop", "label", "id", "n")).alias("p"))
         return many.join(other, "key").select("key", "id", "n", "label", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
@@ -216,13 +232,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         open_ = table(labelled(links), "open")
         if open_.isEmpty():
             return classes(links)
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")))
-        .where(alike(F.col("x.n"), F.col("y.n")))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(done, ["a", "b"], "left_anti")
-    )
+    entries = prefixes(open_.select("id", "n", "label").distinct())
+    x, y = entries.alias("x"), entries.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    rest = x.join(
+        y,
+        (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+        & (left * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent),
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     _, found = verified(rest)
     return classes(links.union(found))

@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: long texts in one batch have to fit a Python worker.
 BATCH_ROWS = 1000
+#: Bits of the map that `among` broadcasts: 2 MB, whatever the number of ids.
+MAP_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `df` whose id is in `ids`.
+
+    A broadcast bitmap of hashed ids drops most others before the shuffle of the exact semi-join. Its size is
+    fixed; once it is full, that is from some ten million ids on, the semi-join alone decides.
+    """
+    per = 32768  # bits in a bitmap of bitmap_construct_agg
+    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    maps = ids.select(place.alias("p")).groupBy(F.expr(f"p div {per}").alias("part")).agg(F.bitmap_construct_agg(F.expr(f"p % {per}")).alias("bits"))
+    marked = df.withColumn("p", place).join(F.broadcast(maps.withColumnRenamed("part", "part_")), F.expr(f"p div {per} = part_"))
+    byte = f"cast(conv(hex(substring(bits, cast((p % {per}) div 8 as int) + 1, 1)), 16, 10) as bigint)"
+    return marked.where(f"getbit({byte}, cast(p % 8 as int)) = 1").select(*df.columns).join(ids, "id", "left_semi")
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """`name`, or with underscores put before it until no column of `taken` clashes (any case)."""
     low = {x.lower() for x in taken}

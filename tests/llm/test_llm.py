@@ -65,6 +65,24 @@ def test_minhash(docs, texts):
     assert minhash.near_duplicates(docs.where("false"), 3, 85).count() == 0
 
 
+def test_minhash_spread_group(spark):
+    """Copies at all distances from a text, around the threshold as well, of which pivots unite only some."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(400)}" for _ in range(150)]
+    rows, sets = [], {}
+    for i in range(240):
+        ws = list(base)
+        for _ in range(rnd.randrange(16)):
+            ws[rnd.randrange(len(ws))] = f"w{rnd.randrange(400)}"
+        if i % 3 == 0:
+            del ws[: rnd.randrange(20)]
+        rows.append((i, " ".join(ws)))
+        sets[i] = {tuple(ws[j : j + 3]) for j in range(len(ws) - 2)}
+    want = links(sets, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == want and 20 < len(set(want.values())) < 220
+
+
 def test_embedding(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 8))
