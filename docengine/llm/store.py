@@ -55,7 +55,8 @@ def among(df: DataFrame, ids: DataFrame) -> DataFrame:
     maps = ids.select(place.alias("p")).groupBy(F.expr(f"p div {per}").alias("part")).agg(F.bitmap_construct_agg(F.expr(f"p % {per}")).alias("bits"))
     marked = df.withColumn("p", place).join(F.broadcast(maps.withColumnRenamed("part", "part_")), F.expr(f"p div {per} = part_"))
     byte = f"cast(conv(hex(substring(bits, cast((p % {per}) div 8 as int) + 1, 1)), 16, 10) as bigint)"
-    return marked.where(f"getbit({byte}, cast(p % 8 as int)) = 1").select(*df.columns).join(ids, "id", "left_semi")
+    # an inner join: Catalyst would push a semi-join below the bitmap's join
+    return marked.where(f"getbit({byte}, cast(p % 8 as int)) = 1").select(*df.columns).join(ids.select("id").distinct(), "id")
 
 
 def fresh(name: str, taken: list[str]) -> str:
