@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from math import exp, log
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -13,19 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.store import tune
+from docengine.llm.words import batches
 
 SPACE = "▁"
 #: Log-probability of a piece is -ZIPF * log(rank + 2); a BPE model's scores are ranks.
 ZIPF = 1.0
-#: Suffixes of units that a worker keeps.
-_KNOWN = 1_500_000
+#: States of units that a worker keeps, at about 100 bytes each.
+_KNOWN = 3_000_000
 
 
 class Lattice:
     """The lattice of a text is the chain of its units' lattices: no piece goes past a run of spaces and what follows it.
 
-    States are suffixes of units. Each has its pieces' conditional probabilities given that the unit ends,
-    found once by a backward sum over the lattice. Drawing a piece in each state is a walk down the tree of segmentations.
+    States are places in units. Each has its pieces' conditional probabilities given that the unit ends,
+    found once by a backward sum over the lattice, for many units at a time. Drawing a piece in each state is a walk down the tree of
+    segmentations.
     """
 
     def __init__(self, path: str):
@@ -33,83 +36,131 @@ class Lattice:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
-        self.score: dict[str, tuple[float, tuple[int, ...]]] = {}
         self.byte = {}
+        edge: dict[tuple[int, int], int] = {}
+        piece, score = [-1], [0.0]
         for i in range(n):
-            piece = self.model.id_to_piece(i)
+            text = self.model.id_to_piece(i)
             if self.model.is_byte(i):
-                self.byte[int(piece[1:-1], 16)] = i
+                self.byte[int(text[1:-1], 16)] = i
             elif not (self.model.is_control(i) or self.model.is_unknown(i)):
+                if SPACE in text.lstrip(SPACE):
+                    raise ValueError("a piece has a space inside")
+                node = 0
+                for c in text:
+                    node = edge.setdefault((node, ord(c)), len(piece))
+                    if node == len(piece):
+                        piece.append(-1)
+                        score.append(0.0)
                 # a unigram model has log-probabilities, a BPE model ranks
                 s = self.model.get_score(i)
-                self.score[piece] = (s if s > -50 and s != int(s) else -ZIPF * np.log(2 - s), (i,))
-        self.longest = max(map(len, self.score))
-        self.rare = -ZIPF * np.log(2 + n)
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
-            raise ValueError("a piece has a space inside")
+                piece[node], score[node] = i, s if s > -50 and s != int(s) else -ZIPF * log(2 - s)
+        # the tree of pieces: children by node and character
+        self.keys, self.child = (np.array(x, dtype=np.int64) for x in zip(*sorted((a << 21 | c, b) for (a, c), b in edge.items())))
+        self.node_piece, self.node_score = np.array(piece, dtype=np.int32), np.array(score)
+        self.rare = -ZIPF * log(2 + n)
         self._forget()
 
     def _forget(self) -> None:
         self.units: dict[str, int] = {}
-        self.known: dict[str, tuple[int, float]] = {}
-        self.cum = np.zeros(1 << 16)
-        self.next = np.zeros(1 << 16, dtype=np.int64)
-        self.logp = np.zeros(1 << 16)
-        self.ids: list[tuple[int, ...]] = []
-        self.edges = 0
-        self.first = np.zeros(1 << 16, dtype=np.int64)  # edges of state s are first[s]:first[s + 1]; state 0 is the end
-        self.states = 1
-
-    def _unit(self, text: str) -> int:
-        """The state at a unit's start; adds the states of suffixes not met before, from its end on."""
-        n = len(text)
-        z, state = [0.0] * (n + 1), [0] * (n + 1)
-        score, known, longest = self.score, self.known, self.longest
-        for i in range(n - 1, -1, -1):
-            hit = known.get(text[i:])
-            if hit:
-                state[i], z[i] = hit
-                continue
-            out = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = score.get(text[i:j])
-                if piece:
-                    out.append((piece[0] + z[j], state[j], piece[1]))
-            if text[i] not in score:
-                ids = tuple(self.byte[b] for b in text[i].encode("utf-8", "surrogatepass")) if self.byte else (self.model.unk_id(),)
-                out.append((self.rare * len(ids) + z[i + 1], state[i + 1], ids))
-            out.sort(reverse=True)
-            top = out[0][0]
-            total = sum([exp(x[0] - top) for x in out])
-            z[i] = top + log(total)
-            state[i] = self.states
-            at, run = self.edges, 0.0
-            if at + len(out) > len(self.cum):
-                self.cum, self.logp, self.next = (np.concatenate([x, x]) for x in (self.cum, self.logp, self.next))
-            for lp, after, ids in out:
-                run += exp(lp - z[i])
-                self.cum[at], self.logp[at], self.next[at] = run, lp - z[i], after
-                self.ids.append(ids)
-                at += 1
-            self.cum[at - 1] = 2.0
-            self.edges = at
-            self.states += 1
-            if self.states == len(self.first):
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.first[self.states] = at
-            known[text[i:]] = (state[i], z[i])
-        return state[0]
-
-    def starts(self, text: str) -> np.ndarray:
-        """The states at which the units of a normalised text begin."""
-        if len(self.known) > _KNOWN:
+        self.edges, self.states = 0, 1  # state 0 is the end
+        # edges of state s are first[s]:first[s + 1], likeliest first; piece is an id, or -1 - c for a character c without one
+        self.first = np.zeros(1 << 16, dtype=np.int64)
+        self.cum, self.logp = np.zeros(1 << 16), np.zeros(1 << 16)
+        self.next, self.piece, self.degree = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+
+    def _spelling(self, c: int) -> list[int]:
+        return [self.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")] if self.byte else [self.model.unk_id()]
+
+    def _pieces_in(self, chars: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, width, score, piece) of all pieces that begin at a place and end at most `rest` characters on."""
+        at, node, width = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64), 0
+        found: list[tuple] = []
+        alone = np.ones(len(chars), dtype=bool)
+        while len(at):
+            key = node << 21 | chars[at + width]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[i] == key
+            at, node = at[ok], self.child[i[ok]]
+            width += 1
+            is_piece = self.node_piece[node] >= 0
+            hit, which = at[is_piece], node[is_piece]
+            found.append((hit, np.full(len(hit), width), self.node_score[which], self.node_piece[which]))
+            if width == 1:
+                alone[hit] = False
+            more = rest[at] > width
+            at, node = at[more], node[more]
+        bare = np.flatnonzero(alone)
+        c = chars[bare]
+        size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000) if self.byte else np.ones(len(c))
+        found.append((bare, np.ones(len(bare), dtype=np.int64), self.rare * size, (-1 - c).astype(np.int32)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _add(self, new: list[str]) -> None:
+        """States of units not met before, all of one distance to their unit's end at a time."""
+        size = np.array([len(u) for u in new])
+        chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        n = len(chars)
+        rest = np.repeat(np.cumsum(size), size) - np.arange(n)
+        src, width, score, piece = self._pieces_in(chars, rest)
+        order = np.lexsort((src, rest[src]))
+        src, width, score, piece = src[order], width[order], score[order], piece[order]
+        ends = rest[src] == width
+        dst = np.where(ends, n, src + width)
+        z = np.zeros(n + 1)
+        head = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+        count = np.diff(np.r_[head, len(src)])
+        steps = np.searchsorted(rest[src[head]], np.arange(1, int(size.max()) + 2))
+        for g0, g1 in zip(steps[:-1].tolist(), steps[1:].tolist()):
+            lo, hi = int(head[g0]), int(head[g1]) if g1 < len(head) else len(src)
+            v, starts = score[lo:hi] + z[dst[lo:hi]], head[g0:g1] - lo
+            top = np.maximum.reduceat(v, starts)
+            total = np.add.reduceat(np.exp(v - np.repeat(top, count[g0:g1])), starts)
+            z[src[head[g0:g1]]] = top + np.log(total)
+        logp = score + z[dst] - z[src]
+        order = np.lexsort((-logp, src))
+        src, dst, logp, piece = src[order], dst[order], logp[order], piece[order]
+        degree = np.bincount(src, minlength=n)
+        begin = np.concatenate([[0], np.cumsum(degree)])
+        cum = np.exp(logp)
+        place, left = begin[:-1], degree
+        while len(place):
+            more = left > 1
+            place, left = place[more] + 1, left[more] - 1
+            cum[place] += cum[place - 1]
+        cum[begin[1:] - 1] = 2.0
+        at, end = self.edges, self.edges + len(src)
+        for name in ("cum", "logp", "next", "piece", "degree"):
+            self._room(name, end)
+        self._room("first", self.states + n + 1)
+        self.cum[at:end], self.logp[at:end], self.piece[at:end], self.degree[at:end] = cum, logp, piece, degree[src]
+        self.next[at:end] = np.where(dst == n, 0, self.states + dst)
+        self.first[self.states : self.states + n + 1] = at + begin
+        self.units.update(zip(new, (self.states + np.cumsum(size) - size).tolist()))
+        self.edges, self.states = end, self.states + n
+
+    def _room(self, name: str, need: int) -> None:
+        have = getattr(self, name)
+        if need > len(have):
+            setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have) // 2), dtype=have.dtype)]))
+
+    def learn(self, parts: list[list[str]]) -> None:
+        """Makes the units of some texts known, together."""
+        if self.states > _KNOWN:
             self._forget()
-        get, out = self.units.get, []
-        for u in units(text):
-            s = get(u)
-            if s is None:
-                s = self.units[u] = self._unit(u)
-            out.append(s)
+        new = list(dict.fromkeys(u for units_ in parts for u in units_ if u not in self.units))
+        if new:
+            self._add(new)
+
+    def starts(self, parts: list[str]) -> np.ndarray:
+        """The states at which a text's units begin."""
+        out = list(map(self.units.get, parts))
+        if None in out:
+            self.learn([parts])
+            out = [self.units.get(u) for u in parts]
+            if None in out:  # the rest has been forgotten
+                self._add(list(dict.fromkeys(u for u in parts if u not in self.units)))
+                out = [self.units[u] for u in parts]
         return np.array(out, dtype=np.int64)
 
     def draw(self, state: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -132,15 +183,15 @@ class Lattice:
         order = np.argsort(owner, kind="stable")
         return (np.concatenate(edges)[order] if edges else unit), owner[order]
 
-    def sample(self, text: str, k: int, seed: int) -> tuple[list[tuple[np.ndarray, float, float]], float]:
+    def sample(self, text: str | list[str], k: int, seed: int) -> tuple[list[tuple[np.ndarray, float, float]], float]:
         """Up to k distinct segmentations (edges, log-probability, perturbed log-probability), best first, and the next one's bound.
 
-        Top-down sampling: the queue holds sets of segmentations by the maximum of their perturbed
+        `text` is normalised, or already in units. Top-down sampling: the queue holds sets of segmentations by the maximum of their perturbed
         log-probabilities. A set is a prefix of pieces and the pieces not to follow it. Taking one draws its best member, and what
         is left falls into one set for each place where another member parts from it; their maxima are
         Gumbels of their mass, cut off at the best. Only the k + 1 largest are kept, as none below them is ever taken.
         """
-        begin = self.starts(text)
+        begin = self.starts(units(text) if isinstance(text, str) else text)
         rng = np.random.default_rng(seed)
         root = -np.log(-np.log(rng.random()))
         queue: list = []
@@ -162,23 +213,20 @@ class Lattice:
                     gone[0] += np.exp(self.logp[list(banned)]).sum()
                 with np.errstate(divide="ignore", invalid="ignore"):
                     left = run[at] + np.log(np.maximum(1 - gone, 0))
-                single = self.first[self.state_of(path[at]) + 1] - self.first[self.state_of(path[at])]
+                single = self.degree[path[at]]
                 taken = np.ones(len(at), dtype=np.int64)
                 taken[0] += len(banned)
                 left[single <= taken] = -np.inf
                 ok = np.flatnonzero(left > -np.inf)
                 cut = _truncate(left[ok], g, rng)
-                keep = ok[np.argsort(-cut, kind="stable")[: k + 1]]
-                value = dict(zip(ok.tolist(), cut.tolist()))
-                for i in keep.tolist():
+                keep = np.argpartition(-cut, k)[: k + 1] if len(cut) > k + 1 else np.arange(len(cut))
+                keep = keep[np.argsort(-cut[keep], kind="stable")]
+                for i, value in zip(ok[keep].tolist(), cut[keep].tolist()):
                     count += 1
                     stop = (*(banned if i == 0 else ()), int(path[at[i]]))
-                    heappush(queue, (-value[i], count, path[: at[i]], float(run[at[i]]), stop, None))
+                    heappush(queue, (-value, count, path[: at[i]], float(run[at[i]]), stop, None))
         return out, -queue[0][0] if queue else -np.inf
 
-    def state_of(self, edges: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first[: self.states + 1], edges, side="right") - 1
-
     def _draw_after(self, prefix, banned, rest, begin, rng):
         if rest is not None:
             return self.draw(rest, rng)
@@ -196,8 +244,22 @@ class Lattice:
         tail, owner = self.draw(states, rng)
         return np.concatenate([[e], tail]).astype(np.int64), owner
 
+    def ids(self, path: np.ndarray) -> np.ndarray:
+        """Ids along a path; characters without a piece as their bytes."""
+        out = self.piece[path]
+        odd = np.flatnonzero(out < 0)
+        if not len(odd):
+            return out
+        spelled = [self._spelling(-1 - c) for c in out[odd].tolist()]
+        many = np.ones(len(out), dtype=np.int64)
+        many[odd] = [len(x) for x in spelled]
+        odd_after = np.repeat(out < 0, many)
+        out = np.repeat(out, many)
+        out[odd_after] = np.concatenate(spelled)
+        return out
+
     def pieces(self, path: np.ndarray) -> list[int]:
-        return [i for e in path.tolist() for i in self.ids[e]]
+        return self.ids(path).tolist()
 
 
 def _truncate(mass: np.ndarray, most: float, rng: np.random.Generator) -> np.ndarray:
@@ -206,20 +268,12 @@ def _truncate(mass: np.ndarray, most: float, rng: np.random.Generator) -> np.nda
     return -np.logaddexp(-most, -mass + np.log(e))
 
 
-def units(text: str) -> Iterator[str]:
+_UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+
+
+def units(text: str) -> list[str]:
     """Line feeds, and runs of spaces with what follows them: no piece has a line feed or goes past a space that follows something else."""
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            yield "\n"
-        lead = ""
-        for j, word in enumerate(line.split(SPACE)):
-            if j:
-                lead += SPACE
-            if word:
-                yield lead + word
-                lead = ""
-        if lead:
-            yield lead
+    return _UNIT.findall(text)
 
 
 _loaded: dict[str, Lattice] = {}
@@ -236,17 +290,19 @@ def _sample(path: str, k: int, seed: int, with_ids: bool):
         lat = lattice(path)
         for frame in frames:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                plain = text or ""
-                name = None if pd.isna(doc_id) else int(doc_id)
-                normal = lat.model.normalize(plain)
-                found, bound = lat.sample(normal, k, zlib.crc32(f"{seed}\x1f{name}".encode()))
-                for n, (edges, logp, value) in enumerate(found):
-                    ids = lat.pieces(edges)
-                    # a member is in the sample if its perturbed value is over the first one left out
-                    inclusion = float(-np.expm1(-np.exp(np.minimum(logp - bound, 700.0)))) if bound > -np.inf else 1.0
-                    row = (name, n, len(ids), logp, value, inclusion, zlib.crc32(np.array(ids, "<u4").tobytes()), lat.model.decode(ids) == plain)
-                    rows.append((*row, ids) if with_ids else row)
+            names, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"]]
+            for lo, hi in batches(texts):
+                parts = [units(lat.model.normalize(t)) for t in texts[lo:hi]]
+                lat.learn(parts)
+                for doc_id, plain, part in zip(names[lo:hi], texts[lo:hi], parts):
+                    name = None if pd.isna(doc_id) else int(doc_id)
+                    found, bound = lat.sample(part, k, zlib.crc32(f"{seed}\x1f{name}".encode()))
+                    for n, (edges, logp, value) in enumerate(found):
+                        ids = lat.ids(edges)
+                        # a member is in the sample if its perturbed value is over the first one left out
+                        inclusion = float(-np.expm1(-np.exp(np.minimum(logp - bound, 700.0)))) if bound > -np.inf else 1.0
+                        row = (name, n, len(ids), logp, value, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), lat.model.decode(ids.tolist()) == plain)
+                        rows.append((*row, ids.tolist()) if with_ids else row)
             cols = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "restored"] + ["ids"] * with_ids
             yield pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
 

@@ -167,6 +167,33 @@ def test_segment():
     assert [g for _, _, g in found] == sorted((g for _, _, g in found), reverse=True)
 
 
+def test_segment_all():
+    """Every segmentation of a short text, by brute force, and those of texts with very long units, repeats and none."""
+    lat = segment.Lattice(P.path("piece_bpe_32k.model"))
+    ids = {lat.model.id_to_piece(i): i for i in range(3, lat.model.get_piece_size()) if not lat.model.is_byte(i)}
+    text = lat.model.normalize("cats ab")
+
+    def ways(rest):
+        return [[]] if not rest else [[ids[rest[:j]], *w] for j in range(1, len(rest) + 1) if rest[:j] in ids for w in ways(rest[j:])]
+
+    found, bound = lat.sample(text, 10**4, 3)
+    assert sorted(lat.pieces(e) for e, _, _ in found) == sorted(ways(text)) and bound == -np.inf
+    assert abs(sum(np.exp(lp) for _, lp, _ in found) - 1) < 1e-9
+    for t in ("", "\n\n ", "x" * 5000 + "é𐍈" * 50, "a  b " * 300):
+        got, _ = lat.sample(lat.model.normalize(t), 3, 1)
+        assert all(lat.model.decode(lat.pieces(e)) == t for e, _, _ in got) and len(got) == (3 if t.strip() else len(got)) and got
+
+
+def test_segment_table(spark, docs, texts):
+    rows = segment.sample(docs, P.path("piece_bpe_32k.model"), k=2, ids=True).collect()
+    by, sure = {}, {r.doc_id for r in rows if r.inclusion == 1}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add(tuple(r.ids))
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and 0 < r.inclusion <= 1
+    assert set(by) == set(texts) and len(rows) == sum(map(len, by.values())) and all(len(by[i]) == 2 for i in set(by) - sure) and len(sure) < 30
+    assert segment.sample(docs.where("false"), P.path("piece_bpe_32k.model")).count() == 0
+
+
 def test_quality():
     good, bad = [np.array([1, 2, i % 7 + 10]) for i in range(40)], [np.array([3, 4, i % 7 + 10]) for i in range(40)]
     pos, neg = (np.bincount(np.concatenate(x), minlength=32) for x in (good, bad))
