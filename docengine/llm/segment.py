@@ -103,7 +103,8 @@ class Lattice:
         n = len(chars)
         rest = np.repeat(np.cumsum(size), size) - np.arange(n)
         src, width, score, piece = self._pieces_in(chars, rest)
-        order = np.lexsort((src, rest[src]))
+        # keys without ties, so that a unit's edges do not depend on what is found with it
+        order = np.argsort((rest[src] * n + src) << 7 | np.minimum(width, 127))
         src, width, score, piece = src[order], width[order], score[order], piece[order]
         ends = rest[src] == width
         dst = np.where(ends, n, src + width)
@@ -118,7 +119,9 @@ class Lattice:
             total = np.add.reduceat(np.exp(v - np.repeat(top, count[g0:g1])), starts)
             z[src[head[g0:g1]]] = top + np.log(total)
         logp = score + z[dst] - z[src]
-        order = np.lexsort((-logp, src))
+        # likeliest first, to a part in 65536
+        rank = np.clip(logp * -65536.0, 0, 2.0**25 - 1).astype(np.int64)
+        order = np.argsort(src << 32 | rank << 7 | np.minimum(width, 127))
         src, dst, logp, piece = src[order], dst[order], logp[order], piece[order]
         degree = np.bincount(src, minlength=n)
         begin = np.concatenate([[0], np.cumsum(degree)])
@@ -300,10 +303,13 @@ def _sample(path: str, k: int, seed: int, with_ids: bool):
                     for n, (edges, logp, value) in enumerate(found):
                         ids = lat.ids(edges)
                         # a member is in the sample if its perturbed value is over the first one left out
-                        inclusion = float(-np.expm1(-np.exp(np.minimum(logp - bound, 700.0)))) if bound > -np.inf else 1.0
-                        row = (name, n, len(ids), logp, value, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), lat.model.decode(ids.tolist()) == plain)
+                        over = min(logp - bound, 700.0)
+                        inclusion = float(-np.expm1(-np.exp(over)))
+                        # far below zero both are the same, and the first one's exponential may be zero
+                        log_inclusion = float(np.log(inclusion)) if over > -30 else over
+                        row = (name, n, len(ids), logp, value, inclusion, log_inclusion, zlib.crc32(ids.astype("<u4").tobytes()), lat.model.decode(ids.tolist()) == plain)
                         rows.append((*row, ids.tolist()) if with_ids else row)
-            cols = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "restored"] + ["ids"] * with_ids
+            cols = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion", "ids_crc32", "restored"] + ["ids"] * with_ids
             yield pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
 
     return run
@@ -311,16 +317,16 @@ def _sample(path: str, k: int, seed: int, with_ids: bool):
 
 def sample(docs: DataFrame, model: str, k: int = 3, seed: int = 0, ids: bool = False) -> DataFrame:
     """Up to k rows per document, distinct segmentations of its whole text drawn without replacement: doc_id, sample (from 0, by
-    falling perturbed log-probability), n_pieces, log_prob, perturbed, inclusion, ids_crc32, restored (whether decoding gives the text back), and ids if asked for.
+    falling perturbed log-probability), n_pieces, log_prob, perturbed, inclusion, log_inclusion, ids_crc32, restored (whether decoding gives the text back), and ids if asked for.
 
     Exact Gumbel top-k over all segmentations of the lattice; the draw follows from `seed` and doc_id alone, so a
     lost task repeats it, and rows that repeat a doc_id with one text get the same. inclusion is the probability that a
-    segmentation's perturbed value is over the best one left out; log-probability less its logarithm weighs estimates. A text with fewer than k segmentations gives
+    segmentation's perturbed value is over the best one left out; log_prob less log_inclusion weighs estimates; inclusion itself is 0 where a double cannot hold it. A text with fewer than k segmentations gives
     all of them, with inclusion 1; null and empty texts give the empty one. Null doc_ids share a seed. Other columns are ignored.
     """
     tune(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, restored boolean"
+    schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, log_inclusion double, ids_crc32 long, restored boolean"
     return source.mapInPandas(_sample(model, k, seed, ids), schema + ", ids array<int>" * ids)
 
 
