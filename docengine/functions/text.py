@@ -46,9 +46,9 @@ def alnum_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(ALNUM))
 
 
-def noise_reason(line: Column) -> Column:
+def noise_reason(line: Column, stripped: bool = False) -> Column:
     """Why a line is noise: the first rule that holds, null if none does."""
-    s = strip(line)
+    s = line if stripped else strip(line)
     return (
         F.when(s == "", "blank")
         .when(s.rlike(SYMBOLS_ONLY), "symbols")
@@ -59,8 +59,8 @@ def noise_reason(line: Column) -> Column:
     )
 
 
-def is_noise(line: Column) -> Column:
-    return noise_reason(line).isNotNull()
+def is_noise(line: Column, stripped: bool = False) -> Column:
+    return noise_reason(line, stripped).isNotNull()
 
 
 def casefold(c: Column) -> Column:

@@ -21,9 +21,13 @@ def to_lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 
 def remove_noise(lines: DataFrame) -> DataFrame:
-    """Lines cleaned; noise and empty ones dropped."""
-    line = T.clean_line(F.col("line"))
-    return lines.withColumn("line", line).where((F.col("line") != "") & ~T.is_noise(F.col("line")))
+    """Lines cleaned; noise and empty ones dropped.
+
+    A filter would be pushed below the cleaning, which every rule would then repeat; as an array of one it is done once.
+    """
+    kept = F.filter(F.array(T.clean_line(F.col("line"))), lambda x: (x != "") & ~T.is_noise(x, stripped=True))
+    rest = [F.explode(kept).alias("line") if c == "line" else F.col(c) for c in lines.columns]
+    return lines.select(*rest)
 
 
 def drop_exact(lines: DataFrame, keys: list[str], order: list[str], key: Column | None = None) -> DataFrame:
