@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.operators import clean, jobs, layout, tables, validate
-from docengine.sources.documents import literal_text, upload_error
+from docengine.sources.documents import literal_text, read_results, upload_error, write_results
 
 
 def col(spark, values, f, kind="string"):
@@ -74,3 +74,12 @@ def test_pdf(spark):
 
 def test_http(spark):
     assert col(spark, ["unknown", "expired", "failed", "pending", "done"], jobs.http_status) == [404, 410, 500, 202, 200]
+
+
+def test_results(spark, tmp_path):
+    """Results are read until they expire, at their expiry no more."""
+    rows = spark.createDataFrame([("a", "done", "x\ny", 0.9, "en", ["w"]), ("b", "failed", "", 0.0, "unknown", [])], "job_id string, status string, text string, confidence double, language string, warnings array<string>")
+    for fmt in ("json", "parquet"):
+        write_results(rows, str(tmp_path / fmt), F.lit("2024-01-01 00:00:00"), fmt=fmt)
+        read = lambda at: {r.job_id: (r.text, r.warnings) for r in read_results(spark, str(tmp_path / fmt), F.lit(at), fmt).collect()}  # noqa: B023, E731
+        assert read("2024-01-01 01:59:59") == {"a": ("x\ny", ["w"]), "b": ("", [])} and read("2024-01-01 02:00:00") == {}
