@@ -13,7 +13,7 @@ _FEMALE = r"Mrs|Ms|Miss|Frau|Sra|Señora|Señorita|Madame|Mme|Mlle|Signora|Го
 #: Patterns by kind; where several match, the first. Each starts where its characters start, so that none is tried inside a run.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\bghp_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\bghp_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|(?<=\b(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "phone": r"(?<![\w+])\+?\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}\b|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}\b|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}\b|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
@@ -123,7 +123,7 @@ def surrogate(kind_: Column, value: Column, turn: Column, stream: Column) -> Col
         # what is before the last ten digits is a country code
         .when((kind_ == "phone") & (F.length(value) > 10), F.concat(F.substring(value, F.lit(1), F.length(value) - 10), _alike(F.right(value, F.lit(10)), stream)))
         .when((kind_ == "secret") & value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(made, 5, 999)))
-        .when((kind_ == "secret") & value.rlike("^[0-9a-f]+$"), _alike(value, stream, 6))
+        .when((kind_ == "secret") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _alike(value, stream, 6))
         .when(kind_.startswith("person"), _name(kind_, stream, turn))
         .otherwise(made)
     )

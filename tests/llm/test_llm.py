@@ -211,3 +211,15 @@ def test_pii(spark):
     digits = [int(c) for c in re.search(r"\d{4} \d{4} \d{4} \d{4}", out)[0] if c != " "]
     assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
     assert got[2].text is None and got[None].text == "" and got[3].text == "clean text" and got[3].n_entities == 0
+
+
+def test_pii_key_words_in_any_case(spark):
+    """A secret after a key word in upper or title case is replaced by one of its form, by the same as elsewhere."""
+    rows = [(1, 'TOKEN = "9233A8EC77B0D1F4"'), (2, "Token = 9233a8ec77b0d1f4 end"), (3, "PASSWORD: hunter2hunter2"), (4, "token = 9233a8ec77b0d1f4"), (5, 'Api_Key="Zz9-_/+abcd"')]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_entities == 1 for r in got.values())
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{16}"', got[1].text) and "9233A8EC" not in got[1].text
+    made = re.fullmatch(r"Token = ([0-9a-f]{16}) end", got[2].text)[1]
+    assert made != "9233a8ec77b0d1f4" and got[4].text == f"token = {made}"
+    assert re.fullmatch(r"PASSWORD: [a-z]{6}\d[a-z]{6}\d", got[3].text) and "hunter2" not in got[3].text
+    assert re.fullmatch(r'Api_Key="[A-Z][a-z]\d-_/\+[a-z]{4}"', got[5].text) and "Zz9" not in got[5].text
