@@ -26,10 +26,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat the one that stays are dropped too."""
+    """One document of each group of equal texts; rows that repeat the one that stays are dropped too.
+
+    Rows are told by doc_id and text: null or repeated ids of unlike texts do not stand for each other.
+    """
     ship(spark)
-    stay = exact.deduplicate(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    stay = exact.deduplicate(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_text")).distinct()
+    marked = docs.withColumn("text_sha256", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_sha256") == F.col("stay_text"))
+    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,12 @@
+"""Stages of the pipeline on rows that the driver's tables do not hold."""
+
+import corpus_pipeline
+
+
+def test_keep_distinct(spark):
+    """One row of each text stays, whatever ids are null or repeated."""
+    rows = [(None, "a"), (None, "b"), (None, "b"), (None, None), (None, ""), (5, "A"), (5, "B"), (9, "B"), (7, "c"), (7, "d"), (7, "d"), (8, "a")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_distinct(spark, docs, "").collect()
+    assert sorted((r.text or "", r.doc_id or 0) for r in got) == [("", 0), ("A", 5), ("B", 9), ("a", 8), ("b", 0), ("c", 7), ("d", 7)]
+    assert got[0].asDict().keys() == set(corpus_pipeline.COLUMNS)
