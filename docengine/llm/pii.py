@@ -23,7 +23,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap test that every text with an entity passes.
-_MAYBE = r"[0-9@=:]|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Señor|Monsieur|Madame|Mme|Mlle|Signor|Господин|Госпожа)"
+_MAYBE = r"[0-9@=:]|AKIA|ghp_|sk-|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Señor|Monsieur|Madame|Mme|Mlle|Signor|Господин|Госпожа)"
 #: Syllables and endings (male, female, family) of made-up names, by script.
 NAMES = {
     "Cyrillic": ("ба ве га до жи ка ле ми но ра со ти", "ан ор ис", "ина ева ара", "енко ский ов"),

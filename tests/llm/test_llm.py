@@ -223,3 +223,11 @@ def test_pii_key_words_in_any_case(spark):
     assert made != "9233a8ec77b0d1f4" and got[4].text == f"token = {made}"
     assert re.fullmatch(r"PASSWORD: [a-z]{6}\d[a-z]{6}\d", got[3].text) and "hunter2" not in got[3].text
     assert re.fullmatch(r'Api_Key="[A-Z][a-z]\d-_/\+[a-z]{4}"', got[5].text) and "Zz9" not in got[5].text
+
+
+def test_pii_bare_keys(spark):
+    """Keys without a digit, '@', '=' or ':' anywhere in their text pass the first test as well."""
+    keys = ["AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "aBcDeFgHiJkL" * 3, "sk-" + "abcdefghij" * 2]
+    rows = [(i, f"the key {k} was left here") for i, k in enumerate(keys)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_entities == 1 and k not in got[i].text and len(got[i].text) == len(rows[i][1]) for i, k in enumerate(keys))
