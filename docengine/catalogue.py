@@ -12,7 +12,7 @@ from docengine.operators import classify, clean, jobs, layout, tables, validate
 from docengine.plans import stand_ins as S
 from docengine.plans.extraction import extract
 from docengine.session import ship
-from docengine.sources.documents import literal_text, upload_error
+from docengine.sources.documents import literal_stream, literal_text, upload_error
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -404,11 +404,10 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pdf_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts put into a minimal content stream and read back."""
-    body = F.regexp_replace(F.substring("text", 1, 200), r"[^A-Za-z0-9 .,]", "")
-    pdf = F.encode(F.concat(F.lit("%PDF-1.4\nBT /F1 12 Tf ("), body, F.lit(") Tj ET\n%%EOF")), "ISO-8859-1")
-    d = S.read(spark, sf_dir, "documents").select("doc_id", body.alias("body"), pdf.alias("content"))
-    return d.select("doc_id", (literal_text(F.col("content")) == F.col("body")).alias("same"), upload_error(F.lit("x.pdf"), F.length("content"), F.col("content")).alias("error"))
+    """Whole texts put into a minimal content stream and read back."""
+    d = S.read(spark, sf_dir, "documents").select("doc_id", "text", literal_stream(F.col("text")).alias("content"))
+    same = F.encode(literal_text(F.col("content")), "ISO-8859-1") == F.col("text").cast("binary")
+    return d.select("doc_id", same.alias("same"), upload_error(F.lit("x.pdf"), F.length("content"), F.col("content")).alias("error"))
 
 
 @query()

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES = 100 * 1024 * 1024
-#: A literal string of a content stream.
-LITERAL = r"\((?:\\.|[^\\)])*\)"
+#: A literal string of a content stream; possessive, as Java would otherwise need a stack frame for each character.
+LITERAL = r"\((?:\\.|[^\\)])*+\)"
 RESULT_SCHEMA = "job_id string, status string, text string, confidence double, language string, warnings array<string>, expires_at timestamp"
 
 
@@ -34,8 +34,23 @@ def upload_error(path: Column, length: Column, content: Column, most: int = MOST
 def literal_text(content: Column) -> Column:
     """Text of uncompressed content streams: their literal strings, unescaped, one a line."""
     found = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(LITERAL), F.lit(0))
-    plain = F.transform(found, lambda s: F.regexp_replace(F.replace(F.replace(F.substring(s, F.lit(2), F.length(s) - 2), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), r"\\(.)", "$1"))
-    return F.array_join(plain, "\n")
+    # escaped backslashes first become a character that ISO-8859-1 does not have, so that what follows them is left alone
+    steps = (("\\\\", "\ue000"), ("\\n", "\n"), ("\\r", "\r"))
+
+    def plain(s: Column) -> Column:
+        s = F.substring(s, F.lit(2), F.length(s) - 2)
+        for escape, char in steps:
+            s = F.replace(s, F.lit(escape), F.lit(char))
+        return F.replace(F.regexp_replace(s, r"\\(.)", "$1"), F.lit("\ue000"), F.lit("\\"))
+
+    return F.array_join(F.transform(found, plain), "\n")
+
+
+def literal_stream(text: Column) -> Column:
+    """A minimal content stream of the whole text as one literal string of UTF-8 bytes, as ISO-8859-1 lacks most letters."""
+    body = F.regexp_replace(text, r"([\\()])", r"\\$1")
+    body = F.replace(F.replace(body, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.concat(F.lit("%PDF-1.4\nBT /F1 12 Tf ("), body, F.lit(") Tj ET\n%%EOF")).cast("binary")
 
 
 def fallback_text(*readings: Column) -> Column:

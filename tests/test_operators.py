@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.operators import clean, jobs, layout, tables, validate
-from docengine.sources.documents import literal_text, read_results, upload_error, write_results
+from docengine.sources.documents import literal_stream, literal_text, read_results, upload_error, write_results
 
 
 def col(spark, values, f, kind="string"):
@@ -72,6 +72,20 @@ def test_pdf(spark):
     assert got[0].t == "Hello World\na(b" and got[0].e is None and got[1].e == "not a PDF"
 
 
+def test_pdf_whole(spark, tmp_path):
+    """Whole texts come back, with what has to be escaped, letters outside ISO-8859-1 and strings of any length."""
+    from docengine import catalogue
+
+    assert col(spark, [b"(C:\\\\new \\\\\\(a\\) \\n)"], literal_text, "binary") == ["C:\\new \\(a) \n"]
+    texts = ["x" * 300 + " (a\\b) C:\\new\\run\r\n\\", "((" + "é ठરા… 𐍈)\\(" * 20000, "", None, "\\\\n)\n("]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.same for r in catalogue.pdf_literals(spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: None, 4: True}
+    read = F.decode(F.encode(literal_text(literal_stream(F.col("text"))), "ISO-8859-1"), "UTF-8")
+    assert [r.t for r in df.orderBy("doc_id").select(read.alias("t")).collect()] == texts
+
+
 def test_http(spark):
     assert col(spark, ["unknown", "expired", "failed", "pending", "done"], jobs.http_status) == [404, 410, 500, 202, 200]
 
