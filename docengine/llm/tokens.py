@@ -45,6 +45,94 @@ def plain(text: bytes) -> bool:
     return not ((follow == 0x97) | (follow == 0xB7)).any()
 
 
+class Known:
+    """Ids of the pre-tokens met so far, found by a 64-bit hash and told apart by their bytes."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        # of each entry: hash, where its ids and its lanes are, how many ids, how many bytes; sorted by hash
+        self.entries = tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+        self.late = self.entries
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.lanes, self.lanes_used = np.zeros(1 << 16, dtype=np.uint64), 0
+
+    def _room(self, name: str, need: int) -> None:
+        have = getattr(self, name)
+        if need > len(have):
+            setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have)), dtype=have.dtype)]))
+
+    def _append(self, got: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(x) for x in got], dtype=np.int64)
+        total = int(n.sum())
+        self._room("flat", self.used + total)
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=total)
+        start = self.used + np.cumsum(n) - n
+        self.used += total
+        return start, n
+
+    def find(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each raw[begin:end] are in `flat`, and how many; encode(bytes) gives those of a new one."""
+        if len(self.entries[0]) + len(self.late[0]) > _KNOWN or self.used > 8 * _KNOWN or self.lanes_used > 4 * _KNOWN:
+            self.forget()
+        x = W.lanes(raw, begin, end)
+        hashes = W.hash_lanes(x)
+        order = np.argsort(hashes)
+        h = hashes[order]
+        fresh = np.ones(len(h), dtype=bool)
+        fresh[1:] = h[1:] != h[:-1]
+        one, rank = h[fresh], np.cumsum(fresh) - 1
+        some = order[np.flatnonzero(fresh)]
+        start, count, lane, size = (np.full(len(one), -1, dtype=np.int64) for _ in range(4))
+        for entries in (self.entries, self.late):
+            if len(entries[0]):
+                at = np.minimum(np.searchsorted(entries[0], one), len(entries[0]) - 1)
+                hit = entries[0][at] == one
+                for to, have in zip((start, count, lane, size), entries[1:]):
+                    to[hit] = have[at[hit]]
+        missing = np.flatnonzero(count < 0)
+        if len(missing):
+            where = some[missing]
+            start[missing], count[missing] = self._append([encode(raw[begin[i] : end[i]].tobytes()) for i in where.tolist()])
+            own = x.count[where]
+            self._room("lanes", self.lanes_used + int(own.sum()))
+            lane[missing], size[missing] = self.lanes_used + np.cumsum(own) - own, x.size[where]
+            self.lanes[self.lanes_used : self.lanes_used + int(own.sum())] = x.values[_runs(x.first[where], own)]
+            self.lanes_used += int(own.sum())
+            late = [np.concatenate([a, b[missing]]) for a, b in zip(self.late, (one, start, count, lane, size))]
+            o = np.argsort(late[0])
+            self.late = tuple(v[o] for v in late)
+            if 8 * len(o) > len(self.entries[0]):
+                both = [np.concatenate([a, b]) for a, b in zip(self.entries, self.late)]
+                o = np.argsort(both[0])
+                self.entries = tuple(v[o] for v in both)
+                self.late = tuple(v[:0] for v in self.late)
+        s, c, at, n = (np.empty(len(h), dtype=np.int64) for _ in range(4))
+        for to, have in zip((s, c, at, n), (start, count, lane, size)):
+            to[order] = have[rank]
+        unlike = n != x.size
+        same = np.flatnonzero(~unlike)
+        if len(x.values) == len(x.first):
+            unlike[same] = self.lanes[at[same]] != x.values[same]
+        elif len(same):
+            own = x.count[same]
+            off = self.lanes[_runs(at[same], own)] != x.values[_runs(x.first[same], own)]
+            unlike[same] = np.logical_or.reduceat(off, np.cumsum(own) - own)
+        bad = np.flatnonzero(unlike)
+        if len(bad):  # another pre-token has the hash of these
+            s[bad], c[bad] = self._append([encode(raw[begin[i] : end[i]].tobytes()) for i in bad.tolist()])
+        return s, c
+
+    def ids(self, s: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.flat[_runs(s, c)]
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, then those of start[1]."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 @dataclass
 class Encoded:
     """Ids of texts in a row; those of text d are ids[first[d]:first[d + 1]], `at` is each id's first byte in its text, `size` its bytes."""
@@ -73,15 +161,7 @@ class Encoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int32)
         for piece, i in vocab.items():
             self.width[i] = len(piece.removesuffix(self.word_end) if self.word_end else piece)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.start = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.late: tuple[np.ndarray, np.ndarray, np.ndarray] = (self.keys, self.start, self.count)
+        self.known, self.odd = Known(), Known()
 
     def _spans(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pre-tokens of plain texts with a line feed between them."""
@@ -101,42 +181,6 @@ class Encoder:
         edge = np.flatnonzero(new)
         return edge[:-1], edge[1:]
 
-    def _find(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each pre-token are in `flat`, and how many; word(i) gives the bytes of the i-th."""
-        order = np.argsort(hashes)
-        h = hashes[order]
-        fresh = np.ones(len(h), dtype=bool)
-        fresh[1:] = h[1:] != h[:-1]
-        one, rank = h[fresh], np.cumsum(fresh) - 1
-        start, count = np.zeros(len(one), dtype=np.int64), np.full(len(one), -1, dtype=np.int64)
-        for keys, s, c in ((self.keys, self.start, self.count), self.late):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
-                hit = keys[at] == one
-                start[hit], count[hit] = s[at[hit]], c[at[hit]]
-        missing = np.flatnonzero(count < 0)
-        if len(missing):
-            where = order[np.flatnonzero(fresh)[missing]]
-            got = [self._encode(word(i)) for i in where.tolist()]
-            n = np.array([len(x) for x in got], dtype=np.int64)
-            total = int(n.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=total)
-            start[missing], count[missing] = self.used + np.cumsum(n) - n, n
-            self.used += total
-            late = [np.concatenate([a, b]) for a, b in zip(self.late, (one[missing], start[missing], count[missing]))]
-            o = np.argsort(late[0])
-            self.late = tuple(x[o] for x in late)
-            if 8 * len(o) > len(self.keys):
-                both = [np.concatenate([a, b]) for a, b in zip((self.keys, self.start, self.count), self.late)]
-                o = np.argsort(both[0])
-                self.keys, self.start, self.count = (x[o] for x in both)
-                self.late = tuple(x[:0] for x in self.late)
-        s, c = np.empty(len(h), dtype=np.int64), np.empty(len(h), dtype=np.int64)
-        s[order], c[order] = start[rank], count[rank]
-        return s, c
-
     def _encode(self, word: bytes) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize("".join([self.letters[b] for b in word]))]
 
@@ -144,8 +188,6 @@ class Encoder:
         """Ids of every whole text; None is empty. offsets: with each id's place, for vocabularies that keep white space."""
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         easy = [plain(p) for p in parts]
-        if len(self.keys) > _KNOWN:
-            self._forget()
         own = [p for p, e in zip(parts, easy) if e]
         base = np.zeros(len(own) + 1, dtype=np.int64)
         np.cumsum([len(p) + 1 for p in own], out=base[1:])
@@ -161,9 +203,8 @@ class Encoder:
             end = np.concatenate([base[:0], *(e + base[i] for i, (_, e) in enumerate(found))])
         else:
             start, end = self._spans(raw)
-        data = raw.tobytes()
-        s, c = self._find(W.hash_spans(raw, start, end), lambda i: data[start[i] : end[i]])
-        ids = self._gather(s, c)
+        s, c = self.known.find(raw, start, end, self._encode)
+        ids = self.known.ids(s, c)
         cum = np.concatenate([[0], np.cumsum(c)])
         first = cum[np.searchsorted(start, base)]
         at = None
@@ -190,32 +231,21 @@ class Encoder:
         ids = np.concatenate([np.zeros(0, np.uint32), *pieces])
         return Encoded(ids, ends, np.concatenate(places) if offsets else None, self.width[ids] if offsets else None)
 
-    def _gather(self, s: np.ndarray, c: np.ndarray) -> np.ndarray:
-        total = int(c.sum())
-        return self.flat[np.repeat(s - (np.cumsum(c) - c), c) + np.arange(total)]
-
     def _odd(self, text: str, offsets: bool) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        data = raw.tobytes()
         if self.keep_space:
             import public_tokenizers
             import regex
 
             ends = np.cumsum([len(m.encode("utf-8", "surrogatepass")) for m in regex.findall(public_tokenizers.PATTERN, text)], dtype=np.int64)
             start = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-            s, c = self._find(W.hash_spans(raw, start, ends), lambda i: data[start[i] : ends[i]])
-            ids = self._gather(s, c)
+            ids = self.known.ids(*self.known.find(raw, start, ends, self._encode))
             size = self.width[ids].astype(np.int64)
             return ids, np.cumsum(size) - size
         solid = W.BY_SPACE[raw]
         edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
-        start, end = edge[::2], edge[1::2]
-        keep, self._encode = self._encode, lambda w: self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-        try:
-            s, c = self._find(W.mix(W.hash_spans(raw, start, end) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), lambda i: data[start[i] : end[i]])
-        finally:
-            self._encode = keep
-        return self._gather(s, c), np.zeros(0, np.int64)
+        got = self.odd.find(raw, edge[::2], edge[1::2], lambda w: self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return self.odd.ids(*got), np.zeros(0, np.int64)
 
 
 _LOWER = W.LOWER

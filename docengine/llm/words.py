@@ -11,9 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_WINDOW = 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -39,39 +36,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+_LANE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
-_cached: dict[str, np.ndarray] = {}
-
+@dataclass
+class Lanes:
+    """Spans of bytes as 64-bit numbers, eight bytes each, the last filled up with zeros; `first[i]` is where span i's begin."""
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _cached or len(_cached["p"]) < n:
-        size = max(2 * _WINDOW, n)
-        up, down = _powers(_BASE, size), _powers(_INVERSE, size)
-        if size > 4 * _WINDOW:
-            return up, down
-        _cached["p"], _cached["q"] = up, down
-    return _cached["p"], _cached["q"]
+    values: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    size: np.ndarray
+
+
+def lanes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> Lanes:
+    size = end - start
+    count = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    view = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw.tobytes() + bytes(8), strides=(1,))
+    if not len(count) or count.max() == 1:
+        return Lanes(view[start] & _KEEP[np.minimum(size, 8)], first, count, size)
+    done = 8 * (np.arange(int(count.sum())) - np.repeat(first, count))
+    values = view[np.repeat(start, count) + done] & _KEEP[np.minimum(np.repeat(size, count) - done, 8)]
+    return Lanes(values, first, count, size)
+
+
+def hash_lanes(x: Lanes) -> np.ndarray:
+    """A 64-bit hash of each span: each lane is mixed, then mixed with its place, and only then added up, so that no
+    algebra of the bytes survives (a polynomial modulo 2 ** 64 gives the Thue-Morse word and its complement one hash)."""
+    if not len(x.size):
+        return np.zeros(0, dtype=np.uint64)
+    one = mix(x.values)
+    if len(one) > len(x.first):
+        place = np.arange(len(one)) - np.repeat(x.first, x.count)
+        one = one + place.astype(np.uint64) * _LANE
+        one = np.add.reduceat(mix(one), x.first)
+    else:
+        one = mix(one)
+    return mix(one + x.size.astype(np.uint64) * _LENGTH)
 
 
 def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each raw[start:end]; spans ascend and do not overlap."""
-    hashes = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + _WINDOW, side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        up, down = _tables(hi - lo + 1)
-        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], dtype=np.uint64, out=sums[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        hashes[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
-    return hashes
+    """A 64-bit hash of each raw[start:end]."""
+    return hash_lanes(lanes(raw, start, end))
 
 
 @dataclass
