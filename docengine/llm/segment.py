@@ -6,7 +6,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from math import log
+from itertools import chain, repeat
+from math import exp, expm1, log
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.store import tune
-from docengine.llm.words import batches
+from docengine.llm.words import batches, mix
 
 SPACE = "▁"
 #: Log-probability of a piece is -ZIPF * log(rank + 2); a BPE model's scores are ranks.
 ZIPF = 1.0
 #: States of units that a worker keeps, at about 100 bytes each.
 _KNOWN = 3_000_000
+_ROUND, _PLACE, _STEP, _HEAD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1, ends left out, that follow from 64-bit keys."""
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value, shift, at = value | (data[at] & 127) << shift, shift + 7, at + 1
+        if data[at - 1] < 128:
+            return value, at
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protocol-buffer message's fields."""
+    at = 0
+    while at < len(data):
+        key, at = _varint(data, at)
+        if key & 7 == 0:
+            value, at = _varint(data, at)
+        else:
+            size, at = _varint(data, at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+def is_unigram(model) -> bool:
+    """Whether scores are log-probabilities: field 3 (1: unigram, also if absent) of the trainer's settings, field 2 of a model."""
+    for number, value in _fields(model.serialized_model_proto()):
+        if number == 2:
+            return dict(_fields(value)).get(3, 1) == 1
+    return True
 
 
 class Lattice:
@@ -36,6 +72,7 @@ class Lattice:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
+        unigram = is_unigram(self.model)
         self.byte = {}
         edge: dict[tuple[int, int], int] = {}
         piece, score = [-1], [0.0]
@@ -52,9 +89,9 @@ class Lattice:
                     if node == len(piece):
                         piece.append(-1)
                         score.append(0.0)
-                # a unigram model has log-probabilities, a BPE model ranks
+                # a BPE model has ranks
                 s = self.model.get_score(i)
-                piece[node], score[node] = i, s if s > -50 and s != int(s) else -ZIPF * log(2 - s)
+                piece[node], score[node] = i, s if unigram else -ZIPF * log(2 - s)
         # the tree of pieces: children by node and character
         self.keys, self.child = (np.array(x, dtype=np.int64) for x in zip(*sorted((a << 21 | c, b) for (a, c), b in edge.items())))
         self.node_piece, self.node_score = np.array(piece, dtype=np.int32), np.array(score)
@@ -65,9 +102,9 @@ class Lattice:
         self.units: dict[str, int] = {}
         self.edges, self.states = 0, 1  # state 0 is the end
         # edges of state s are first[s]:first[s + 1], likeliest first; piece is an id, or -1 - c for a character c without one
-        self.first = np.zeros(1 << 16, dtype=np.int64)
+        self.first = np.zeros(1 << 16, dtype=np.int32)
         self.cum, self.logp = np.zeros(1 << 16), np.zeros(1 << 16)
-        self.next, self.piece, self.degree = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+        self.next, self.piece, self.degree = (np.zeros(1 << 16, dtype=np.int32) for _ in range(3))
 
     def _spelling(self, c: int) -> list[int]:
         return [self.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")] if self.byte else [self.model.unk_id()]
@@ -147,128 +184,156 @@ class Lattice:
         if need > len(have):
             setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have) // 2), dtype=have.dtype)]))
 
-    def learn(self, parts: list[list[str]]) -> None:
-        """Makes the units of some texts known, together."""
+    def starts(self, parts: list[str]) -> np.ndarray:
+        """The states at which units begin; those not met before are found together."""
         if self.states > _KNOWN:
             self._forget()
-        new = list(dict.fromkeys(u for units_ in parts for u in units_ if u not in self.units))
+        out = np.fromiter(map(self.units.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        new = np.flatnonzero(out < 0).tolist()
         if new:
-            self._add(new)
+            self._add(list(dict.fromkeys(parts[i] for i in new)))
+            out[new] = [self.units[parts[i]] for i in new]
+        return out
 
-    def starts(self, parts: list[str]) -> np.ndarray:
-        """The states at which a text's units begin."""
-        out = list(map(self.units.get, parts))
-        if None in out:
-            self.learn([parts])
-            out = [self.units.get(u) for u in parts]
-            if None in out:  # the rest has been forgotten
-                self._add(list(dict.fromkeys(u for u in parts if u not in self.units)))
-                out = [self.units[u] for u in parts]
-        return np.array(out, dtype=np.int64)
-
-    def draw(self, state: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """(edges, unit of each) of a segmentation drawn from the given states on, in order."""
-        unit = np.arange(len(state))
-        edges, owners = [], []
+    def draw(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, unit of each) of a segmentation drawn from the given states on, in order; `key` gives each unit's numbers."""
+        size, unit = np.zeros(len(state), dtype=np.int64), np.arange(len(state))
+        steps = []
         while len(state):
             # edges fall by probability, so that few draws go past the first; the last one's bound is out of reach
-            u, e = rng.random(len(state)), self.first[state].copy()
+            u, e = _uniform(key), self.first[state]
             past = np.flatnonzero(u >= self.cum[e])
             while len(past):
                 e[past] += 1
                 past = past[u[past] >= self.cum[e[past]]]
-            edges.append(e)
-            owners.append(unit)
+            size[unit] += 1
+            steps.append((unit, e))
             state = self.next[e]
-            go = state > 0
-            state, unit = state[go], unit[go]
-        owner = np.concatenate(owners) if owners else unit
-        order = np.argsort(owner, kind="stable")
-        return (np.concatenate(edges)[order] if edges else unit), owner[order]
-
-    def sample(self, text: str | list[str], k: int, seed: int) -> tuple[list[tuple[np.ndarray, float, float]], float]:
-        """Up to k distinct segmentations (edges, log-probability, perturbed log-probability), best first, and the next one's bound.
-
-        `text` is normalised, or already in units. Top-down sampling: the queue holds sets of segmentations by the maximum of their perturbed
-        log-probabilities. A set is a prefix of pieces and the pieces not to follow it. Taking one draws its best member, and what
-        is left falls into one set for each place where another member parts from it; their maxima are
-        Gumbels of their mass, cut off at the best. Only the k + 1 largest are kept, as none below them is ever taken.
+            go = np.flatnonzero(state)
+            state, unit, key = state[go], unit[go], key[go] + _STEP
+        at = np.cumsum(size) - size
+        edges = np.empty(int(size.sum()), dtype=np.int32)
+        for i, (unit, e) in enumerate(steps):
+            edges[at[unit] + i] = e
+        return edges, np.repeat(np.arange(len(size), dtype=np.int32), size)
+
+    def sample_all(self, texts: list[list[str]], k: int, seeds: np.ndarray) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+        """For each text, in units: up to k distinct segmentations (edges, log-probability, perturbed log-probability), best first,
+        and the next one's bound. A text's draws follow from its seed alone.
+
+        Top-down sampling: a queue holds sets of segmentations by the maximum of their perturbed log-probabilities. A
+        set is a prefix of pieces and the pieces not to follow it. Taking one draws its best member, and what is left
+        falls into one set for each place where another member parts from it; their maxima are Gumbels of
+        their mass, cut off at the best. Only as many are kept as can still be taken, and one more for the bound. All
+        texts take their n-th set together.
         """
-        begin = self.starts(units(text) if isinstance(text, str) else text)
-        rng = np.random.default_rng(seed)
-        root = -np.log(-np.log(rng.random()))
-        queue: list = []
-        heappush(queue, (-root, 0, np.zeros(0, dtype=np.int64), 0.0, (), begin))
-        out, count = [], 0
-        while queue and len(out) < k:
-            top, _, prefix, mass, banned, rest = heappop(queue)
-            g = -top
-            tail, _ = self._draw_after(prefix, banned, rest, begin, rng)
-            path = np.concatenate([prefix, tail])
-            lp = self.logp[path]
-            run = np.concatenate([[0.0], np.cumsum(lp)])
-            out.append((path, float(run[-1]), float(g)))
-            # where members of the set part from this one: at the first drawn place without the banned pieces, later anywhere
-            at = np.arange(len(prefix), len(path))
-            if len(at):
-                gone = np.exp(lp[at])
+        begin = self.starts(list(chain.from_iterable(texts)))
+        units_ = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        seeds = mix(np.asarray(seeds, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        none = np.zeros(0, dtype=np.int32)
+        roots = -np.log(-np.log(_uniform(seeds)))
+        # (minus maximum, number, path, unit of each piece, length of the prefix, its log-probability, pieces not to follow)
+        queues: list[list] = [[(-float(g), 0, none, none, 0, 0.0, ())] for g in roots]
+        found: list[list] = [[] for _ in texts]
+        live, turn, count = list(range(len(texts))), 0, 0
+        while live and turn < k:
+            taken = [heappop(queues[d]) for d in live]
+            base = mix(seeds[live] + _ROUND * np.array([2 * turn + 1], dtype=np.uint64))
+            state, key, unit, heads = [], [], [], np.full(len(live), -1, dtype=np.int64)
+            first_number = _uniform(base ^ _HEAD)
+            for j, (d, (_, _, path, owner, i, _, banned)) in enumerate(zip(live, taken)):
+                lo, hi = int(units_[d]), int(units_[d + 1])
+                at = 0
                 if banned:
-                    gone[0] += np.exp(self.logp[list(banned)]).sum()
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    left = run[at] + np.log(np.maximum(1 - gone, 0))
-                single = self.degree[path[at]]
-                taken = np.ones(len(at), dtype=np.int64)
-                taken[0] += len(banned)
-                left[single <= taken] = -np.inf
-                ok = np.flatnonzero(left > -np.inf)
-                cut = _truncate(left[ok], g, rng)
-                keep = np.argpartition(-cut, k)[: k + 1] if len(cut) > k + 1 else np.arange(len(cut))
-                keep = keep[np.argsort(-cut[keep], kind="stable")]
-                for i, value in zip(ok[keep].tolist(), cut[keep].tolist()):
-                    count += 1
-                    stop = (*(banned if i == 0 else ()), int(path[at[i]]))
-                    heappush(queue, (-value, count, path[: at[i]], float(run[at[i]]), stop, None))
-        return out, -queue[0][0] if queue else -np.inf
-
-    def _draw_after(self, prefix, banned, rest, begin, rng):
-        if rest is not None:
-            return self.draw(rest, rng)
-        ends = int(np.count_nonzero(self.next[prefix] == 0))
-        inside = len(prefix) and self.next[prefix[-1]] != 0
-        state = int(self.next[prefix[-1]]) if inside else int(begin[ends])
-        lo, hi = int(self.first[state]), int(self.first[state + 1])
-        p = np.exp(self.logp[lo:hi])
-        p[[b - lo for b in banned]] = 0
-        e = lo + int(np.searchsorted(np.cumsum(p) / p.sum(), rng.random(), side="right"))
-        e = min(e, hi - 1)
-        after = begin[ends + 1 :]
-        nxt = int(self.next[e])
-        states = np.concatenate([[nxt], after]) if nxt else after
-        tail, owner = self.draw(states, rng)
-        return np.concatenate([[e], tail]).astype(np.int64), owner
+                    at = int(owner[i])
+                    here = int(self.next[path[i - 1]]) if i and owner[i - 1] == at else int(begin[lo + at])
+                    a, b = int(self.first[here]), int(self.first[here + 1])
+                    p = np.exp(self.logp[a:b])
+                    p[[x - a for x in banned]] = 0
+                    total = np.cumsum(p)
+                    e = min(a + int(np.searchsorted(total, first_number[j] * total[-1], side="right")), a + int(np.flatnonzero(p)[-1]))
+                    heads[j] = e
+                    if self.next[e]:
+                        state.append(self.next[e : e + 1])
+                        unit.append(np.array([at]))
+                    at += 1
+                state.append(begin[lo + at : hi])
+                unit.append(np.arange(at, hi - lo))
+                key.append(len(state))
+            sizes = np.array([len(x) for x in state], dtype=np.int64)
+            unit_of = np.concatenate(unit)
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.array(key)]  # where each text's states end
+            edges, owner = self.draw(np.concatenate(state), np.repeat(base, np.diff(cuts, prepend=0)) + unit_of.astype(np.uint64) * _PLACE)
+            ends = np.searchsorted(owner, cuts)
+            owner = unit_of[owner].astype(np.int32)
+            if turn:  # the pieces that part from a set's banned ones come first
+                more = np.flatnonzero(heads >= 0)
+                at = np.concatenate([[0], ends[:-1]])[more]
+                edges = np.insert(edges, at, heads[more])
+                owner = np.insert(owner, at, [taken[j][3][taken[j][4]] for j in more.tolist()])
+                ends = ends + np.cumsum(heads >= 0)
+            starts = np.concatenate([[0], ends[:-1]])
+            lp, many = self.logp[edges], np.diff(ends, prepend=0)
+            before, gone = np.empty(len(edges)), np.exp(lp)
+            allowed = self.degree[edges].copy()
+            paths = []
+            for j, (d, (top, _, path, own, i, mass, banned), a, b) in enumerate(zip(live, taken, starts.tolist(), ends.tolist())):
+                run = np.cumsum(lp[a:b])
+                if a < b:
+                    before[a], before[a + 1 : b] = mass, mass + run[:-1]
+                if banned:
+                    gone[a] += np.exp(self.logp[list(banned)]).sum()
+                    allowed[a] -= len(banned)
+                paths.append((np.concatenate([path[:i], edges[a:b]]) if i else edges[a:b], np.concatenate([own[:i], owner[a:b]]) if i else owner[a:b]))
+                found[d].append((paths[-1][0], mass + float(run[-1]) if a < b else mass, -top))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                left = np.where(allowed > 1, before + np.log1p(-np.minimum(gone, 1.0)), -np.inf)
+            place = np.arange(len(edges)) - np.repeat(starts, many)
+            numbers = _uniform(np.repeat(mix(seeds[live] + _ROUND * np.array([2 * turn + 2], dtype=np.uint64)), many) + place.astype(np.uint64) * _PLACE)
+            cut = _truncate(left, np.repeat([-t[0] for t in taken], many), numbers)
+            need = k - turn
+            for (d, (_, _, _, _, i, _, banned)), (path, own), a, b in zip(zip(live, taken), paths, starts.tolist(), ends.tolist()):
+                part = cut[a:b]
+                best = [int(part.argmax())] if need == 1 and b > a else np.argpartition(-part, need)[:need].tolist() if b - a > need else range(b - a)
+                for x in best:
+                    if part[x] > -np.inf:
+                        count += 1
+                        stop = (*(banned if x == 0 else ()), int(edges[a + x]))
+                        heappush(queues[d], (-float(part[x]), count, path, own, i + x, float(before[a + x]), stop))
+            turn += 1
+            live = [d for d in live if queues[d]]
+        return [(f, -q[0][0] if q else -np.inf) for f, q in zip(found, queues)]
+
+    def sample(self, text: str, k: int, seed: int) -> tuple[list[tuple[np.ndarray, float, float]], float]:
+        """`sample_all` of one normalised text."""
+        return self.sample_all([units(text)], k, np.array([seed]))[0]
 
     def ids(self, path: np.ndarray) -> np.ndarray:
         """Ids along a path; characters without a piece as their bytes."""
-        out = self.piece[path]
+        return self.all_ids([path])[0]
+
+    def all_ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """Ids along each path."""
+        out = self.piece[np.concatenate([np.zeros(0, dtype=np.int32), *paths])]
+        ends = np.cumsum([len(p) for p in paths])
         odd = np.flatnonzero(out < 0)
-        if not len(odd):
-            return out
-        spelled = [self._spelling(-1 - c) for c in out[odd].tolist()]
-        many = np.ones(len(out), dtype=np.int64)
-        many[odd] = [len(x) for x in spelled]
-        odd_after = np.repeat(out < 0, many)
-        out = np.repeat(out, many)
-        out[odd_after] = np.concatenate(spelled)
-        return out
+        if len(odd):
+            spelled = [self._spelling(-1 - c) for c in out[odd].tolist()]
+            many = np.ones(len(out), dtype=np.int64)
+            many[odd] = [len(x) for x in spelled]
+            odd_after = np.repeat(out < 0, many)
+            ends = np.concatenate([[0], np.cumsum(many)])[ends]
+            out = np.repeat(out, many)
+            out[odd_after] = np.concatenate(spelled)
+        return np.split(out, ends[:-1]) if paths else []
 
     def pieces(self, path: np.ndarray) -> list[int]:
         return self.ids(path).tolist()
 
 
-def _truncate(mass: np.ndarray, most: float, rng: np.random.Generator) -> np.ndarray:
+def _truncate(mass: np.ndarray, most: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Gumbels of location `mass` cut off at `most`: -log(exp(-most) + exp(-mass) * Exp(1)) in stable form."""
-    e = rng.exponential(size=len(mass))
-    return -np.logaddexp(-most, -mass + np.log(e))
+    return -np.logaddexp(-most, -mass + np.log(-np.log(numbers)))
 
 
 _UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -293,21 +358,23 @@ def _sample(path: str, k: int, seed: int, with_ids: bool):
         lat = lattice(path)
         for frame in frames:
             rows = []
-            names, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"]]
+            names, texts = [None if pd.isna(d) else int(d) for d in frame["doc_id"]], [t or "" for t in frame["text"]]
             for lo, hi in batches(texts):
-                parts = [units(lat.model.normalize(t)) for t in texts[lo:hi]]
-                lat.learn(parts)
-                for doc_id, plain, part in zip(names[lo:hi], texts[lo:hi], parts):
-                    name = None if pd.isna(doc_id) else int(doc_id)
-                    found, bound = lat.sample(part, k, zlib.crc32(f"{seed}\x1f{name}".encode()))
-                    for n, (edges, logp, value) in enumerate(found):
-                        ids = lat.ids(edges)
+                seeds = np.array([zlib.crc32(f"{seed}\x1f{d}".encode()) for d in names[lo:hi]], dtype=np.uint64)
+                drawn = lat.sample_all([units(t) for t in lat.model.normalize(texts[lo:hi])], k, seeds)
+                all_ids = iter(lat.all_ids([path for found, _ in drawn for path, _, _ in found]))
+                for name, plain, (found, bound) in zip(names[lo:hi], texts[lo:hi], drawn):
+                    same = False
+                    for n, (_, logp, value) in enumerate(found):
+                        ids = next(all_ids)
+                        # every path spells the characters of the same units, so that decoding one tells for all
+                        same = lat.model.decode(ids.tolist()) == plain if n == 0 else same
                         # a member is in the sample if its perturbed value is over the first one left out
                         over = min(logp - bound, 700.0)
-                        inclusion = float(-np.expm1(-np.exp(over)))
+                        inclusion = -expm1(-exp(over))
                         # far below zero both are the same, and the first one's exponential may be zero
-                        log_inclusion = float(np.log(inclusion)) if over > -30 else over
-                        row = (name, n, len(ids), logp, value, inclusion, log_inclusion, zlib.crc32(ids.astype("<u4").tobytes()), lat.model.decode(ids.tolist()) == plain)
+                        log_inclusion = log(inclusion) if over > -30 else over
+                        row = (name, n, len(ids), logp, value, inclusion, log_inclusion, zlib.crc32(ids.astype("<u4", copy=False)), same)
                         rows.append((*row, ids.tolist()) if with_ids else row)
             cols = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion", "ids_crc32", "restored"] + ["ids"] * with_ids
             yield pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
