@@ -16,7 +16,7 @@ PATTERNS = {
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\bghp_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|(?<=\b(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "phone": r"(?<![\w+])\+?\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}\b|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}\b|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}\b|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}\b",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ip": r"(?<![\w.])(?<!\b(?i:version|release|ver\.?|v\.?) {0,2})(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "person": rf"\b(?:{_MALE}|{_FEMALE}|Dr|Prof)\.? {_NAME}(?: {_NAME}){{0,2}}",
@@ -44,10 +44,15 @@ def kind(entity: Column) -> Column:
     return out.otherwise("secret")
 
 
+def valid(kind_: Column, norm: Column) -> Column:
+    """Whether check digits agree; a number whose own do not is none of that kind and stays."""
+    return F.when(kind_ == "card", _luhn(norm) == norm).when(kind_ == "iban", _iban(norm, norm) == norm).otherwise(True)
+
+
 def normal(kind_: Column, part: Column) -> Column:
     """What mentions of one entity share: digits and letters, letters lower-cased where case has no meaning."""
     bare = F.regexp_replace(part, r"[^\p{L}\p{N}]", "")
-    return F.when(kind_ == "email", F.lower(part)).when(kind_ == "ip", part).when(kind_ == "secret", part).when(kind_.startswith("person"), F.lower(part)).otherwise(bare)
+    return F.when(kind_ == "email", F.lower(part)).when(kind_.isin("ip", "secret"), part).when(kind_.startswith("person"), F.lower(part)).otherwise(bare)
 
 
 def _stream(key: Column, kind_: Column, value: Column, turn: Column) -> Column:
@@ -94,7 +99,7 @@ def _iban(value: Column, made: Column) -> Column:
 
 
 def _name(kind_: Column, stream: Column, turn: Column) -> Column:
-    """kind_ is person.<male|female|any|family>.<script>; longer names from the third turn on, so they do not run out."""
+    """kind_ is person.<male|female|any|family>.<script>, which picks the ending alone; longer names from the third turn on, so they do not run out."""
     at = lambda i: F.element_at(stream, i)
     out = None
     for script, (syllables, male, female, family) in NAMES.items():
@@ -130,14 +135,13 @@ def surrogate(kind_: Column, value: Column, turn: Column, stream: Column) -> Col
 
 
 def _render(kind_: Column, raw: Column, made: Column) -> Column:
-    """`made` in the format of a mention: separators of numbers, case of names."""
+    """`made` in the format of a mention: separators of numbers."""
     keep = F.split(raw, "", -1)
     place = F.transform(keep, lambda c, i: F.size(F.filter(F.slice(keep, F.lit(1), i + 1), lambda x: x.rlike(r"[\p{L}\p{N}]"))))
     shaped = F.array_join(
         F.transform(F.arrays_zip(keep.alias("c"), place.alias("p")), lambda x: F.when(x["c"].rlike(r"[\p{L}\p{N}]"), F.substring(made, x["p"], F.lit(1))).otherwise(x["c"])), ""
     )
-    cased = F.when(raw.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(made)
-    return F.when(kind_.startswith("person"), cased).when(kind_.isin("email", "ip", "secret"), made).otherwise(shaped)
+    return F.when(kind_.isin("email", "ip", "secret"), made).otherwise(shaped)
 
 
 def _script(word: Column) -> Column:
@@ -154,7 +158,8 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     smallest entity keeps one that several drew. Raises if that takes more than `rounds`.
     """
     space = F.when(F.col("kind").startswith("person"), "person").otherwise(F.col("kind"))
-    numbers = _stream(F.lit(key), F.col("kind"), F.col("norm"), F.col("turn"))
+    # a name's role chooses its ending alone
+    numbers = _stream(F.lit(key), space, F.col("norm"), F.col("turn"))
     draw = surrogate(F.col("kind"), F.col("norm"), F.col("turn"), F.col("stream"))
     names = table(entities.select("kind", "norm").distinct(), "entities")
     real = names.select(space.alias("space"), F.lower("norm").alias("low")).distinct().withColumn("real", F.lit(True))
@@ -162,7 +167,7 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     drawn = table(streams.select("kind", "norm", "turn", draw.alias("made")), "drawn")
     for _ in range(rounds):
         lowered = drawn.withColumns({"space": space, "low": F.lower("made")})
-        owner = lowered.groupBy("space", "low").agg(F.min(F.struct("kind", "norm")).alias("owner"))
+        owner = table(lowered.groupBy("space", "low").agg(F.min(F.struct("kind", "norm")).alias("owner")), "owners")
         seen = lowered.join(owner, ["space", "low"]).join(real, ["space", "low"], "left")
         bad = F.col("real").isNotNull() | (F.struct("kind", "norm") != F.col("owner"))
         # owners stay with what they have, unless it is real
@@ -175,39 +180,77 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
+_RUN = r"[\p{L}\p{M}]+"
+#: Letters, and what is between them.
+_TOKEN = rf"{_RUN}|[^\p{{L}}\p{{M}}]+"
+
+
+def _cased(token: Column, made: Column) -> Column:
+    return F.when(token.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(made)
+
+
+def _with_names(text: Column, names: Column) -> Column:
+    """`text` with every capitalised word that `names` (lower-cased to made) holds replaced."""
+    made = lambda t: F.when(t.rlike(r"^\p{Lu}"), F.try_element_at(names, F.lower(t)))
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.coalesce(_cased(t, made(t)), t))
+    return F.when(names.isNull(), text).otherwise(F.array_join(tokens, ""))
+
+
 def pseudonymise(docs: DataFrame, key: str = "docengine") -> DataFrame:
-    """The rows and columns of `docs`, text with surrogates in place of personal data, and n_entities (mentions replaced).
+    """The rows and columns of `docs`, text with surrogates in place of personal data, and n_entities (detected mentions replaced).
 
-    Kinds: email, phone, ip, card (Luhn digit valid), iban (check digits valid), ssn, secrets, and names after a title.
+    Kinds: email, phone, ip, card and iban (only with valid check digits, the surrogate's are valid too), ssn, secrets, and names after a title.
     A surrogate follows from `key`, keeps its kind, separators, letter case and length, a name's gender
     and script; mentions of an entity in any format get the same one, distinct entities distinct
-    ones, none a real one of the corpus. Name words are replaced one by one, so that a family name alone agrees with the full name.
+    ones, none a real one of the corpus. Names are replaced word by word, and one word is one surrogate wherever it stands: a
+    person keeps one name under any title, a family name alone agrees with the full name. Gender is that of most of a
+    word's titled mentions; it picks the ending. Names found after a title are replaced without one as well in the same text (not
+    counted by n_entities); a name that no title introduces in its text stays.
     Null texts stay null, with 0 mentions, empty ones empty; texts without an entity are returned as they were. Null ids and repeated rows
     are treated like any others. A column called n_entities is replaced.
 
-    Only distinct mentions are moved and drawn for. Texts without mentions are not shuffled; the others meet
-    their replacements by one join. A document's mentions are grouped by document, never by entity.
+    Every text is searched once; rows and mentions are stored. Only distinct mentions are moved and drawn for. Texts
+    without mentions are not shuffled; the others, told by their SHA-256, meet their replacements by one
+    join, which Spark can split where many rows hold one text. A text's mentions are grouped by text, never by entity.
     """
-    text = F.col("text").cast("string")
     out = [c for c in docs.columns if c.lower() != "n_entities"]
-    k, mentions, made = (fresh(x, docs.columns) for x in ("k", "mentions", "made"))
-    has = F.coalesce(text.rlike(_MAYBE) & text.rlike(ANY), F.lit(False))
-    hit = docs.where(has).withColumn(mentions, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).withColumn(k, F.xxhash64(text))
+    k, mentions, made, names = (fresh(x, docs.columns) for x in ("k", "mentions", "made", "names"))
+    text = F.col("text").cast("string")
+    found = F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    scanned = table(docs.select(*out, found.alias(mentions)), "scanned")
+    has = F.coalesce(F.size(mentions) > 0, F.lit(False))
+    hit = scanned.where(has).withColumn(k, F.sha2(text, 256))
     met = table(hit.select(F.col(k).alias("k"), F.explode(F.array_distinct(mentions)).alias("raw")).distinct(), "mentions")
-    raws = met.select("raw").distinct().withColumn("base", kind(F.col("raw")))
-    words = F.when(F.col("base") == "person", F.split("raw", " ")).otherwise(F.array("raw"))
-    parts = raws.select("raw", "base", F.size(words).alias("n"), F.posexplode(words).alias("pos", "part"))
+    raws = met.groupBy("raw").agg(F.count("*").alias("often")).withColumn("base", kind(F.col("raw"))).withColumn("norm", normal(F.col("base"), F.col("raw")))
+    raws = table(raws.where(valid(F.col("base"), F.col("norm"))), "raws")
+    others, persons = raws.where("base <> 'person'"), raws.where("base = 'person'")
+    # a person's mention: title, then words; single letters stay
     gender = F.when(F.col("raw").rlike(rf"^(?:{_FEMALE})\b"), "female").when(F.col("raw").rlike(rf"^(?:{_MALE})\b"), "male").otherwise("any")
-    role = F.when((F.col("pos") == F.col("n") - 1), "family").otherwise(gender)
-    parts = parts.withColumn("kind", F.when(F.col("base") != "person", F.col("base")).when(F.col("pos") == 0, "title").otherwise(F.concat_ws(".", F.lit("person"), role, _script(F.col("part")))))
-    parts = table(parts.withColumn("norm", normal(F.col("kind"), F.col("part"))), "parts")
-    drawn = surrogates(parts.where("kind <> 'title'"), key)
-    shown = parts.join(drawn, ["kind", "norm"], "left").select("raw", "pos", F.when(F.col("kind") == "title", F.col("part")).otherwise(_render(F.col("kind"), F.col("part"), F.col("made"))).alias("shown"))
-    pairs = shown.groupBy("raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), " ").alias("made"))
-    maps = met.join(pairs, "raw").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("raw", "made"))).alias(made)).withColumnRenamed("k", k)
-    gaps = F.split(text, ANY, -1)
-    fills = F.concat(F.transform(mentions, lambda m: F.element_at(F.col(made), m)), F.array(F.lit("")))
-    new = F.array_join(F.zip_with(gaps, fills, lambda a, b: F.concat(a, b)), "")
-    done = hit.join(maps, k).select(*[new.alias("text") if c == "text" else F.col(c) for c in out], F.size(mentions).cast("long").alias("n_entities"))
-    rest = docs.where(~has).select(*out, F.lit(0).cast("long").alias("n_entities"))
+    tokens = persons.select("raw", "often", gender.alias("gender"), F.posexplode(F.regexp_extract_all("raw", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+    is_name = (F.col("pos") > 0) & F.col("token").rlike(rf"^{_RUN}$") & (F.length("token") > 1)
+    tokens = table(tokens.withColumn("word", F.when(is_name, F.lower("token"))), "tokens")
+    last = tokens.where("word IS NOT NULL").groupBy("raw").agg(F.max("pos").alias("last"))
+    roles = tokens.where("word IS NOT NULL").join(last, "raw").select("word", "often", F.when(F.col("pos") == F.col("last"), "family").otherwise(F.col("gender")).alias("role"))
+    votes = roles.groupBy("word", "role").agg(F.sum("often").alias("n")).groupBy("word").agg(F.max_by("role", F.struct("n", "role")).alias("role"))
+    words = votes.select("word", F.concat_ws(".", F.lit("person"), "role", _script(F.col("word"))).alias("kind"))
+    drawn = surrogates(others.select(F.col("base").alias("kind"), "norm").union(words.select("kind", F.col("word").alias("norm"))), key)
+    drawn = table(drawn, "surrogates")
+    called = drawn.where(F.col("kind").startswith("person")).select(F.col("norm").alias("word"), "made")
+    shown = others.join(drawn.select(F.col("kind").alias("base"), "norm", "made"), ["base", "norm"]).select("raw", _render(F.col("base"), F.col("raw"), F.col("made")).alias("made"))
+    spelled = tokens.join(called, "word", "left").select("raw", "word", "made", F.struct("pos", F.coalesce(_cased(F.col("token"), F.col("made")), "token").alias("t")).alias("t"))
+    people = spelled.groupBy("raw").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["t"]), "").alias("made"),
+        F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "made"))).alias("names"),
+    )
+    pairs = table(shown.withColumn("names", F.lit(None).cast("array<struct<word:string,made:string>>")).unionByName(people), "pairs")
+    by_text = met.join(pairs, "raw").groupBy("k").agg(F.collect_list(F.struct("raw", "made")).alias("pairs"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    maps = table(
+        by_text.select(F.col("k").alias(k), F.map_from_entries("pairs").alias(made), F.when(F.size("names") > 0, F.map_from_entries("names")).alias(names)), "maps"
+    )
+    gaps = F.transform(F.split(text, ANY, -1), lambda g: _with_names(g, F.col(names)))
+    fills = F.concat(F.transform(mentions, lambda m: F.coalesce(F.try_element_at(F.col(made), m), m)), F.array(F.lit("")))
+    new = F.when(F.col(made).isNull(), text).otherwise(F.array_join(F.zip_with(gaps, fills, lambda a, b: F.concat(a, b)), ""))
+    n = F.coalesce(F.size(F.filter(mentions, lambda m: F.map_contains_key(F.col(made), m))), F.lit(0)).cast("long")
+    done = hit.join(maps, k, "left").select(*[new.alias("text") if c == "text" else F.col(c) for c in out], n.alias("n_entities"))
+    rest = scanned.where(~has).select(*out, F.lit(0).cast("long").alias("n_entities"))
     return rest.unionByName(done)
