@@ -16,6 +16,8 @@ from docengine.llm.store import table, tune
 BITS = 17
 #: Labelled rows that the linear model is fitted on, at most about so many; the class counts use all labelled rows.
 SAMPLE = 20_000
+#: And of at most about so many characters together, as the fit is one task's.
+SAMPLE_CHARS = 60_000_000
 ALPHA, COST, EPOCHS = 1.0, 0.5, 12
 _UPPER, _DIGIT, _PUNCT = (np.isin(np.arange(256), x) for x in (range(65, 91), range(48, 58), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
@@ -39,6 +41,8 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
     again = np.zeros(len(n), dtype=np.uint64)
     if len(n) > 1:
         again[1:] = w.hash[1:] == w.hash[:-1]
+        # a text's first word follows none, whatever text is read before it
+        again[w.first[:-1][np.diff(w.first) > 0]] = 0
     shape = np.minimum(n, 15).astype(np.uint64)
     for part, most in ((upper, 2), (digit, 2), (punct, 3)):
         shape = shape * np.uint64(8) + np.minimum(part, most).astype(np.uint64)
@@ -132,7 +136,7 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _fit(scale: np.ndarray):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", kind="stable")
+        frame = frame.sort_values(["doc_id", "y", "fs"], kind="stable")
         rows = [np.frombuffer(b, dtype=np.int32) for b in frame["fs"]]
         y = np.where(frame["y"].to_numpy() > 0, 1.0, -1.0)
         if len(set(y)) < 2:
@@ -149,14 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from the rows of `labels` (doc_id, quality 0 or 1) that have a document.
 
     Class counts are summed over all of them; the support vectors are found on a sample of about
-    `sample` of them, chosen by a hash of doc_id. What comes to the driver is 2 ** BITS counts and weights.
+    `sample` of them, and of SAMPLE_CHARS characters, chosen by a hash of doc_id; rows that are repeated count once there, and their order does not matter. What comes to the driver is 2 ** BITS counts and weights.
     Labels that are null or neither 0 nor 1 are passed over; several labels of a document count
     as their largest. No labels give a score of 0.5 to every text, labels of one class near 1 or near 0.
     """
     tune(docs.sparkSession)
     y = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     known = table(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id"), "labelled")
-    n = known.count()
+    n, chars = known.agg(F.count("*"), F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()
     empty = np.zeros(1 << BITS)
     if not n:
         return {"scale": empty.astype(np.float32), "weights": empty.astype(np.float32), "bias": 0.0, "slope": 1.0, "offset": 0.0}
@@ -164,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     neg, pos = empty.copy(), empty.copy()
     neg[got["f"]], pos[got["f"]] = got["neg"], got["pos"]
     scale = ratios(neg, pos)
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample).mapInPandas(_featurise, "doc_id long, y int, fs binary")
+    share = min(1.0, sample / n, SAMPLE_CHARS / max(chars, 1))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = chosen.mapInPandas(_featurise, "doc_id long, y int, fs binary").distinct()
     fit = some.groupBy(F.lit("all").alias("part")).applyInPandas(_fit(scale), "weights binary, bias double, slope double, offset double").first()
     return {"scale": scale.astype(np.float32), "weights": np.frombuffer(fit.weights, np.float32), **{k: fit[k] for k in ("bias", "slope", "offset")}}
 
