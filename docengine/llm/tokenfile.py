@@ -1,7 +1,7 @@
 """Token-id files: concatenated ids with Elias-Fano document boundaries and ids.
 
-A file set is a Parquet table of segments (part, seq, n_docs, n_ids, payload). A payload holds a
-header, the Elias-Fano ends of its documents, those of their doc_ids (less the smallest), and
+A file set is a Parquet table of segments (part, seq, before, n_docs, n_ids, payload), before being the ids of earlier segments
+of its part. A payload holds a header, the Elias-Fano ends of its documents, those of their doc_ids (less the smallest), and
 the ids, two or four bytes each, little-endian. Segments in order of (part, seq) are documents in order of
 doc_id, nulls first. Spark's writer puts a segment in place or not at all, on any store that Spark reads.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm import eliasfano
@@ -24,9 +24,10 @@ from docengine.llm.store import tune
 from docengine.llm.tokens import encoder
 
 MAGIC = b"DTOK"
-#: A segment is closed at so many ids or documents; it has one document at least.
+#: A segment is closed at so many ids or documents, after the batch of texts that reaches them.
 SEGMENT_IDS, SEGMENT_DOCS = 2_000_000, 50_000
 _HEAD = "<4sHHQQqQ"
+_SCHEMA = "part int, seq int, before long, n_docs long, n_ids long, payload binary"
 
 
 def pack_segment(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
@@ -57,16 +58,16 @@ class Segment:
         return None if i < self.nulls else self.known.select(i - self.nulls) + self.least
 
 
-def _write(path: str, end_id: int):
+def _write(path: str, end_id: int, most_ids: int, most_docs: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         sizes: list[int] = []
         ids: list[np.ndarray] = []
-        total = 0
+        total = before = 0
 
         def close() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(docs)], "n_ids": [total], "payload": [pack_segment(docs, np.cumsum(sizes), np.concatenate(ids))]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "before": [before], "n_docs": [len(docs)], "n_ids": [total], "payload": [pack_segment(docs, np.cumsum(sizes), np.concatenate(ids))]})
 
         for frame in frames:
             texts = frame["text"].tolist()
@@ -78,26 +79,28 @@ def _write(path: str, end_id: int):
                 sizes += (np.diff(e.first) + 1).tolist()
                 docs += names[lo:hi]
                 total += len(ids[-1])
-                if total >= SEGMENT_IDS or len(docs) >= SEGMENT_DOCS:
+                if total >= most_ids or len(docs) >= most_docs:
                     yield close()
-                    docs, sizes, ids, total, seq = [], [], [], 0, seq + 1
+                    docs, sizes, ids, total, before, seq = [], [], [], 0, before + total, seq + 1
         if docs:
             yield close()
 
     return run
 
 
-def write(docs: DataFrame, target: str, tokenizer: str, end_id: int) -> None:
+def write(docs: DataFrame, target: str, tokenizer: str, end_id: int, most_ids: int = SEGMENT_IDS, most_docs: int = SEGMENT_DOCS) -> None:
     """Encode every whole text (null: empty), append end_id, and write the segments to `target` in order of doc_id.
 
-    One range shuffle by doc_id; equal doc_ids are ordered by text, nulls come first. Columns
-    other than doc_id and text are ignored; an empty table writes no segment.
+    One range shuffle by doc_id, nulls first; rows of one doc_id are ordered by a hash of their text, then by where they were read, so
+    that even they are dealt over several ranges where they are many. There are at least as many ranges as the input has
+    partitions. Columns other than doc_id and text are ignored; an empty table writes no segment.
     """
     tune(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = source.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInPandas(_write(tokenizer, end_id), "part int, seq int, n_docs long, n_ids long, payload binary").write.parquet(target)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
+    by = [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("row")]
+    dealt = source.withColumns({"th": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    dealt.select("doc_id", "text").mapInPandas(_write(tokenizer, end_id, most_ids, most_docs), _SCHEMA).write.parquet(target)
 
 
 def _read(with_ids: bool):
@@ -105,11 +108,13 @@ def _read(with_ids: bool):
         for frame in frames:
             for base, payload in zip(frame["base"], frame["payload"]):
                 s = Segment(payload)
-                ends = s.ends.all()
+                ends = np.fromiter(map(s.ends.select, range(s.n_docs)), dtype=np.int64, count=s.n_docs)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                names = pd.array([None] * s.nulls + (s.known.all() + s.least).tolist(), dtype="Int64")
                 wide = s.data.astype("<u4")
-                out = {"doc_id": names, "start": starts + base, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(wide[a:b]) for a, b in zip(starts, ends)]}
+                out = {
+                    "doc_id": pd.array([s.doc_id(i) for i in range(s.n_docs)], dtype="Int64"), "start": starts + base, "n_tokens": ends - starts,
+                    "ids_crc32": [zlib.crc32(wide[a:b]) for a, b in zip(starts, ends)],
+                }
                 if with_ids:
                     out["ids"] = [wide[a:b].astype(np.int32) for a, b in zip(starts, ends)]
                 yield pd.DataFrame(out)
@@ -120,17 +125,15 @@ def _read(with_ids: bool):
 def read(spark: SparkSession, target: str, ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, and its ids if asked for.
 
-    Offsets of parts come from one total for each part of the writing job, which go to the driver.
+    Documents are found by select on the Elias-Fano boundaries. A segment knows the ids before it in its part; those before
+    a part come from one total for each part, that is for each task of the writing job, on the driver and in the broadcast.
     """
-    segments = spark.read.schema("part int, seq int, n_docs long, n_ids long, payload binary").parquet(target)
+    segments = spark.read.schema(_SCHEMA).parquet(target)
     totals = sorted((r.part, r.n) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     base, rows = 0, []
     for part, n in totals:
         rows.append((part, base))
         base += n
     bases = F.broadcast(spark.createDataFrame(rows, "part int, part_base long"))
-    by = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(by), F.lit(0)).alias("before")).join(bases, "part")
-    places = places.select("part", "seq", (F.col("before") + F.col("part_base")).alias("base"))
-    located = segments.select("part", "seq", "payload").join(F.broadcast(places), ["part", "seq"]).select("base", "payload")
+    located = segments.select("part", "before", "payload").join(bases, "part").select((F.col("before") + F.col("part_base")).alias("base"), "payload")
     return located.mapInPandas(_read(ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
