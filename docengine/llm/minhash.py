@@ -61,6 +61,16 @@ def _shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else h), first
 
 
+def _marks(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's set, whatever its order; 0 for an empty one."""
+    full = np.flatnonzero(np.diff(first))
+    out = np.zeros((2, len(first) - 1), dtype=np.uint64)
+    if len(full):
+        for row, salt in zip(out, (0, 0x5851F42D4C957F2D)):
+            row[full] = np.add.reduceat(W.mix(h ^ np.uint64(salt)), first[full])
+    return out[0], out[1]
+
+
 def _sign(shingle: int, bands: int, rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,12 +80,9 @@ def _sign(shingle: int, bands: int, rows: int):
                 size = np.diff(first)
                 full = np.flatnonzero(size)
                 sig = np.zeros((hi - lo, bands * rows), dtype=np.uint32)
-                one, two = np.zeros(hi - lo, dtype=np.uint64), np.zeros(hi - lo, dtype=np.uint64)
+                one, two = _marks(h, first)
                 if len(full):
-                    starts = np.append(first[full], len(h))
-                    sig[full] = minima(h, starts, bands * rows)
-                    one[full] = np.add.reduceat(W.mix(h), starts[:-1])
-                    two[full] = np.add.reduceat(W.mix(h ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
+                    sig[full] = minima(h, np.append(first[full], len(h)), bands * rows)
                 keys = np.zeros((hi - lo, bands), dtype=np.uint64)
                 for b in range(bands):
                     acc = np.full(hi - lo, b + 1, dtype=np.uint64)
@@ -96,7 +103,10 @@ def _sets(shingle: int):
             texts, ids = frame["text"].tolist(), frame["id"].to_numpy()
             for lo, hi in W.batches(texts):
                 h, first = _shingles(texts[lo:hi], shingle)
-                yield pd.DataFrame({"id": ids[lo:hi], "items": [h[first[i] : first[i + 1]].view(np.int64) for i in range(hi - lo)]})
+                one, two = _marks(h, first)
+                yield pd.DataFrame({
+                    "id": ids[lo:hi], "items": [h[first[i] : first[i + 1]].view(np.int64) for i in range(hi - lo)], "n": np.diff(first), "f1": one.view(np.int64), "f2": two.view(np.int64),
+                })
 
     return run
 
@@ -127,7 +137,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     white space); with fewer words, all of them as one shingle; null, empty and blank texts have an
     empty set and link with nothing. Documents link if 100 * |A & B| >= percent * |A | B|; component_id is the
     smallest doc_id reachable by links, kept is doc_id = component_id. Rows that repeat a doc_id
-    are one node; a null doc_id links with nothing, has no component and is kept. Columns other
+    are one node, whose set is that of its row with the most shingles (of equals, the larger hash); each row has its own n_shingles; a null doc_id links with nothing, has no component and is kept. Columns other
     than doc_id and text are ignored.
 
     Documents with equal sets collapse before banding. Candidates of a band's bucket are not
@@ -149,23 +159,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         "minhash",
     )
     usable = signed.where("id IS NOT NULL AND n > 0")
+    of = F.struct("n", "f1", "f2")
+    unlike = usable.groupBy("id").agg(F.max(of).alias("own"), F.min(of).alias("low")).where("own <> low")
+    unlike = table(unlike.select("id", "own"), "unlike")
+    repeats = not unlike.isEmpty()
+    if repeats:
+        usable = usable.join(unlike, "id", "left").where(F.col("own").isNull() | (of == F.col("own"))).drop("own")
     same = table(usable.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
     reps = usable.select("id", "n", "keys").join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     entries = reps.select("id", "n", F.explode("keys").alias("key"))
     counted = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    crowded = table(entries.join(counted, "key"), "crowded")
+    crowded = table(entries.join(table(counted, "counted"), "key"), "crowded")
     # what a group's copies derive from shares more buckets with them than they do with each other
     crowd = crowded.groupBy("id").agg(F.sum("c").alias("pop"))
     known = table(crowded.select("key", "id", "n").join(crowd, "id"), "members")
-    pivots = known.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("o"), "id", "n")).alias("p"))
+    # stored, so that the joins of a crowded bucket are of plain shuffles, which Spark can split
+    pivots = table(known.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("o"), "id", "n")).alias("p")), "pivots")
     buckets = table(known.join(pivots, "key").select("key", "id", "n", "pop", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "buckets")
 
     def alike(x: Column, y: Column) -> Column:
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = among(source, ids).dropDuplicates(["id"])
-        return table(wanted.mapInPandas(_sets(shingle), "id long, items array<long>"), "items")
+        wanted, schema = among(source, ids), "id long, items array<long>, n long, f1 long, f2 long"
+        if not repeats:
+            return table(wanted.dropDuplicates(["id"]).mapInPandas(_sets(shingle), schema).select("id", "items"), "items")
+        items = wanted.mapInPandas(_sets(shingle), schema).join(unlike, "id", "left").where(F.col("own").isNull() | (of == F.col("own")))
+        return table(items.dropDuplicates(["id"]).select("id", "items"), "items")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -175,7 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         pairs = table(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             return pairs, pairs
-        signs = table(among(signed.select("id", "sig"), ends(pairs)).dropDuplicates(["id"]), "signs")
+        signs = table(among(usable.select("id", "sig"), ends(pairs)).dropDuplicates(["id"]), "signs")
         near = (
             pairs.join(signs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
             .join(signs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
@@ -205,11 +225,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         c = components(links).select(F.col("node").alias("id"), "component")
         rows_ = buckets.select("key", "id", "n", "pop", "pid").join(c, "id", "left").withColumn("label", F.coalesce("component", "id"))
         first = F.max(F.when(F.col("id") == F.col("pid"), F.col("label"))).alias("first")
+        rows_ = table(rows_, "labelled")
         span = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi")
-        many = rows_.drop("pid").join(span, "key")
+        many = table(rows_.drop("pid").join(table(span, "span"), "key"), "many")
         # the most popular member outside the first pivot's component
         other = many.where(F.col("label") != F.col("first")).groupBy("key").agg(F.max(F.struct("pop", "label", "id", "n")).alias("p"))
-        return many.join(other, "key").select("key", "id", "n", "label", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
+        return many.join(table(other, "other"), "key").select("key", "id", "n", "label", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
 
     def classes(found: DataFrame) -> DataFrame:
         copies = usable.select("id", "n", "f1", "f2").join(same, ["n", "f1", "f2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
