@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
-from docengine.operators import classify, clean, jobs, layout, tables, validate
+from docengine.operators import classify, clean, jobs, layout, ocr, tables, validate
 from docengine.plans import stand_ins as S
 from docengine.plans.extraction import extract
 from docengine.session import ship
+from docengine.sources import documents as sources
 from docengine.sources.documents import literal_stream, literal_text, upload_error
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,8 +46,9 @@ k AS (SELECT doc_id, line_no, {_S} AS line, {_REASON} AS reason FROM doc_lines),
 r AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id, replace(lower(line), 'ß', 'ss') ORDER BY line_no) AS n FROM k WHERE reason IS NULL)
 SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM r WHERE n = 1 GROUP BY doc_id""")
 def doc_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = clean.drop_exact(clean.remove_noise(S.doc_lines(spark, sf_dir).drop("source")), ["doc_id"], ["line_no"])
-    out = clean.join_lines(lines, ["doc_id"], ["line_no"])
+    ship(spark)
+    lines = S.read(spark, sf_dir, "documents").select("doc_id", clean.solid_lines(F.split(T.nfkc(F.col("text")), "\n", -1)).alias("lines"))
+    out = clean.some_lines(clean.first_of_equal(lines, "lines"), "lines").select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
     return out.select("doc_id", "n_lines", (F.length("text") - F.col("n_lines") + 1).cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -91,10 +93,10 @@ SELECT doc_id, count(*) AS n_lines, count_if(merges)::BIGINT AS n_merged,
        md5(string_agg(CASE WHEN merges THEN left(line, length(line) - 1) || regexp_replace(nx, '^\\s+', '') ELSE line END, chr(10) ORDER BY line_no)) AS digest
 FROM g WHERE NOT merged GROUP BY doc_id""")
 def hyphen_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = S.fixed_lines(spark, sf_dir)
-    before = lines.groupBy("doc_id").agg(F.count("*").alias("before"))
-    out = clean.join_lines(layout.merge_hyphens(lines, ["doc_id"]), ["doc_id"], ["line_no"]).join(before, "doc_id")
-    return out.select("doc_id", "n_lines", (F.col("before") - F.col("n_lines")).alias("n_merged"), F.md5("text").alias("digest"))
+    lines = S.fixed_texts(spark, sf_dir).withColumn("before", F.size("lines"))
+    out = layout.merge_hyphens_in(lines, "lines")
+    n = F.size("lines")
+    return out.select("doc_id", n.cast("long").alias("n_lines"), (F.col("before") - n).cast("long").alias("n_merged"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
 _FLAGS = f"""array_to_string(list_filter([
@@ -385,9 +387,9 @@ def accept_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def near_dup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    lines = clean.remove_noise(S.doc_lines(spark, sf_dir).drop("source"))
-    out = clean.join_lines(clean.drop_near(lines, ["doc_id"]), ["doc_id"], ["line_no"])
-    return out.select("doc_id", "n_lines", F.md5("text").alias("digest"))
+    lines = S.read(spark, sf_dir, "documents").select("doc_id", clean.solid_lines(F.split(T.nfkc(F.col("text")), "\n", -1)).alias("lines"))
+    out = clean.some_lines(lines.withColumn("lines", clean.without_near(F.col("lines"))), "lines")
+    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
 @query()
@@ -417,3 +419,175 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = S.page_conf(spark, sf_dir).withColumn("pdf_type", F.when(F.col("confidence") < 0.5, "scanned").otherwise("digital"))
     r = extract(pages)
     return r.select("doc_id", "status", "confidence", "language", F.size("pages").alias("n_pages"), F.md5("text").alias("digest"), "metadata.overall_type", "metadata.quality", "metadata.total_warning_count")
+
+
+# --- OCR tokens and passes: order lines as tokens with corners and a confidence, documents as what several passes have read
+
+_TOKENS = """tok AS (SELECT l_orderkey AS page, l_extendedprice / 200 AS x0, l_quantity * 3 AS y0, l_returnflag || l_linestatus AS text, trunc(l_extendedprice / 200 * 1000)::BIGINT AS ord, 1 - l_discount * 9 AS conf FROM lineitem)"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    b = S.blocks(spark, sf_dir).select("page", "ord", "text", F.array(corner("x1", "y1"), corner("x0", "y1"), corner("x1", "y0"), corner("x0", "y0")).alias("box"), ((F.col("y1") - F.col("y0")) / 100).alias("d"))
+    # blocks carry the discount as their height, a hundred times
+    return b.withColumn("conf", 1 - F.round("d", 4) * 9).drop("d")
+
+
+@query(f"""WITH RECURSIVE {_TOKENS},
+s AS (SELECT page, x0, y0, ord, text, row_number() OVER (PARTITION BY page ORDER BY y0, ord, x0) AS k FROM tok WHERE conf >= 0.3),
+f AS (SELECT page, x0, y0, ord, text, k, y0 AS anchor, 0 AS grp FROM s WHERE k = 1
+      UNION ALL SELECT s.page, s.x0, s.y0, s.ord, s.text, s.k, CASE WHEN abs(s.y0 - f.anchor) > 4 THEN s.y0 ELSE f.anchor END, f.grp + CASE WHEN abs(s.y0 - f.anchor) > 4 THEN 1 ELSE 0 END FROM f JOIN s ON s.page = f.page AND s.k = f.k + 1),
+p AS (SELECT page, y0, text, row_number() OVER (PARTITION BY page ORDER BY grp, x0, y0, ord) AS k FROM f),
+l AS (SELECT page, k, text, y0 AS anchor, 0 AS line FROM p WHERE k = 1
+      UNION ALL SELECT p.page, p.k, p.text, CASE WHEN abs(p.y0 - l.anchor) > 4 THEN p.y0 ELSE l.anchor END, l.line + CASE WHEN abs(p.y0 - l.anchor) > 4 THEN 1 ELSE 0 END FROM l JOIN p ON p.page = l.page AND p.k = l.k + 1)
+SELECT page, line, string_agg(text, ' ' ORDER BY k) AS text FROM l GROUP BY page, line""")
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.lines(ocr.kept(ocr.placed(_tokens(spark, sf_dir))), ["page"], F.lit(150))
+
+
+@query(f"""WITH {_TOKENS}, a AS (SELECT page, avg(conf) AS c FROM tok WHERE conf >= 0.3 GROUP BY page), b AS (SELECT DISTINCT page FROM tok)
+SELECT page, round(coalesce(c, 0), 6) AS confidence FROM b LEFT JOIN a USING (page)""")
+def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tokens(spark, sf_dir)
+    return ocr.page_confidence(ocr.kept(ocr.placed(t)), t, ["page"]).select("page", F.round("confidence", 6).alias("confidence"))
+
+
+_GU = "ગુજરાતી લખાણ "
+_SCORE = r"""CASE WHEN n = 0 THEN 0 ELSE round(least(greatest(conf * 0.5 + (g + len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '\p{Nd}'))) / n * 0.35 + g / n * 0.15, 0), 1) + 1e-9, 4) END"""
+_N = r"length(regexp_replace(text, '\s', '', 'g')) AS n, len(regexp_extract_all(text, '[\x{0A80}-\x{0AFF}]')) AS g"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, 0 AS ord, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS text, 0.2 + doc_id % 4 / 10 AS conf FROM documents
+  UNION ALL SELECT doc_id, 1, reverse(text), 0.2 + doc_id % 4 / 10 FROM documents UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 5 = 0 THEN '{_GU}' || text ELSE '...' END, 0.3 FROM documents),
+n AS (SELECT *, {_N} FROM c), s AS (SELECT doc_id, ord, ({_SCORE})::DOUBLE AS score FROM n)
+SELECT doc_id, arg_max(ord, {{'s': score, 'o': -ord}})::INT AS ord, max(score) AS score FROM s GROUP BY doc_id""")
+def best_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = S.read(spark, sf_dir, "documents"), F.col("doc_id")
+    conf, text = F.lit(0.2) + i % 4 / 10, F.col("text")
+    one = lambda n, t, c: F.struct(F.lit(n).alias("ord"), t.alias("text"), c.alias("conf"))
+    three = F.array(
+        one(0, F.when(i % 3 == 0, " ").otherwise(text), conf), one(1, F.reverse(text), conf), one(2, F.when(i % 5 == 0, F.concat(F.lit(_GU), text)).otherwise("..."), F.lit(0.3)),
+    )
+    return ocr.best_pass(d.select("doc_id", F.explode(three).alias("p")).select("doc_id", "p.*"), ["doc_id"]).select("doc_id", "ord", "score")
+
+
+@query(rf"""WITH c AS (SELECT doc_id, unnest([
+  {{'k': 0, 'text': CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE text END, 'conf': doc_id % 10 / 10}},
+  {{'k': 1, 'text': CASE WHEN doc_id % 6 = 0 THEN '' ELSE lower(text) END, 'conf': doc_id % 7 / 10}},
+  {{'k': 2, 'text': CASE WHEN doc_id % 12 = 0 THEN '' WHEN doc_id % 18 = 0 THEN '%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%' ELSE replace(text, ' ', '  ') END, 'conf': doc_id % 3 / 10}}], max_depth := 2) FROM documents),
+n AS (SELECT *, {_N} FROM c), s AS (SELECT doc_id, k, text, ({_SCORE})::DOUBLE AS score FROM n),
+w AS (SELECT a.doc_id, CASE WHEN trim(a.text) = '' AND b.score > a.score THEN b ELSE a END AS t, c FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.k = 1 JOIN s c ON c.doc_id = a.doc_id AND c.k = 2 WHERE a.k = 0),
+v AS (SELECT doc_id, CASE WHEN trim(t.text) = '' AND c.score > t.score THEN c ELSE t END AS t FROM w)
+SELECT doc_id, CASE WHEN t.k = 1 THEN 11 ELSE 6 END AS segmentation, t.score AS confidence, md5(CASE WHEN t.score < 0.15 THEN '' ELSE t.text END) AS digest,
+  array_to_string(list_filter([CASE WHEN t.score < 0.25 AND t.score >= 0.15 AND t.text <> '' THEN printf('Low OCR confidence (%.2f)', t.score) END,
+    CASE WHEN t.score < 0.15 OR trim(t.text) = '' THEN 'Page 1: Tesseract returned no usable text.' END], lambda x: x IS NOT NULL), ' | ') AS warnings FROM v""")
+def ocr_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, text = F.col("doc_id"), F.col("text")
+    one = lambda t, c: F.struct(t.alias("text"), c.alias("conf"))
+    symbols = F.lit("%" * 30)
+    pages = S.read(spark, sf_dir, "documents").select(
+        "doc_id", F.lit(1).alias("page"), one(F.when(i % 2 == 0, " ").otherwise(text), i % 10 / 10).alias("primary"), one(F.when(i % 6 == 0, "").otherwise(F.lower(text)), i % 7 / 10).alias("retry"),
+        one(F.when(i % 12 == 0, "").when(i % 18 == 0, symbols).otherwise(F.replace(text, F.lit(" "), F.lit("  "))), i % 3 / 10).alias("english"),
+    )
+    return ocr.ladder(pages).select("doc_id", "segmentation", "confidence", F.md5("text").alias("digest"), F.array_join("warnings", " | ").alias("warnings"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN lower(text) END AS ft, 0.1 + doc_id % 7 / 10 AS fc, CASE WHEN doc_id % 5 <> 0 THEN replace(text, ' ', '') END AS ht, doc_id % 5 / 5 AS hc FROM documents),
+g AS (SELECT *, ft IS NOT NULL AND {_STRIP.format('ft')} <> '' AND fc >= 0.25 AND (length({_STRIP.format('ft')}) >= 8 OR {_WORDS.format('ft')} >= 2) AS good FROM c),
+p AS (SELECT *, CASE WHEN good AND (ht IS NULL OR length(ft) + fc * 100 >= length(ht) + hc * 100) THEN 'fast' WHEN ht IS NOT NULL THEN 'heavy' ELSE 'none' END AS path FROM g)
+SELECT doc_id, path, md5(CASE path WHEN 'fast' THEN ft WHEN 'heavy' THEN ht ELSE '' END) AS digest, CASE path WHEN 'fast' THEN fc WHEN 'heavy' THEN hc ELSE 0 END::DOUBLE AS confidence FROM p""")
+def ocr_fast_or_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, text = F.col("doc_id"), F.col("text")
+    one = lambda t, c: F.struct(t.alias("text"), c.alias("confidence"))
+    pages = S.read(spark, sf_dir, "documents").select(
+        "doc_id", F.when(i % 4 != 0, one(F.lower(text), F.lit(0.1) + i % 7 / 10)).alias("fast"), F.when(i % 5 != 0, one(F.replace(text, F.lit(" "), F.lit("")), i % 5 / 5)).alias("heavy")
+    )
+    return ocr.fast_or_heavy(pages).select("doc_id", "path", F.md5("text").alias("digest"), "confidence")
+
+
+# --- pages and their tables as a decoder gives them
+
+_READ_PAGES = f"""{S.WORD_PAGES}, rp AS (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN ' ' ELSE text END AS text, CASE WHEN page % 6 <> 0 THEN 'block of ' || text END AS b, CASE WHEN page % 12 <> 0 THEN 'words of ' || text END AS w FROM word_pages)"""
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p, n = S.word_pages(spark, sf_dir), F.col("page")
+    parts = lambda first, ok: p.where(ok).select("doc_id", "page", F.posexplode(F.array(F.lit(f"{first} of"), F.lit("  "), F.col("text"))).alias("ord", "text"))
+    return p.withColumn("text", F.when(n % 3 == 0, " ").otherwise(F.col("text"))), parts("block", n % 6 != 0), parts("words", n % 12 != 0)
+
+
+@query(f"""WITH {_READ_PAGES}, t AS (SELECT doc_id, page, CASE WHEN trim(text) <> '' THEN text WHEN b IS NOT NULL THEN replace(b, 'block of ', 'block of' || chr(10)) ELSE coalesce(w, '') END AS text FROM rp)
+SELECT doc_id, md5(coalesce(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) FILTER (text <> ''), '')) AS digest FROM t GROUP BY doc_id""")
+def fallback_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = sources.fallback_map(*_readings(spark, sf_dir))
+    return sources.fallback_document(text).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {S.WORD_PAGES}, n AS (SELECT DISTINCT doc_id, page FROM (SELECT doc_id, unnest([1, 3, 999, 3]) AS page FROM documents WHERE doc_id % 2 = 0)),
+t AS (SELECT doc_id, page, CASE WHEN page % 7 = 0 THEN 'broken page' END AS error, text FROM word_pages WHERE doc_id % 2 <> 0 OR (doc_id, page) IN (SELECT (doc_id, page) FROM n))
+SELECT doc_id, page, md5(CASE WHEN error IS NULL THEN text ELSE '' END) AS digest, CASE WHEN error IS NOT NULL THEN 'Extraction failed: ' || error ELSE '' END AS warnings FROM t""")
+def digital_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = S.word_pages(spark, sf_dir).withColumn("error", F.when(F.col("page") % 7 == 0, "broken page"))
+    wanted = S.read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.explode(F.array(*[F.lit(i) for i in (1, 3, 999, 3)])).alias("page"))
+    out = sources.selected_pages(pages, wanted)
+    return out.select("doc_id", "page", F.md5("text").alias("digest"), F.array_join("warnings", " | ").alias("warnings"))
+
+
+@query(f"""WITH {_CELLS.replace("SELECT o_custkey AS tbl", "SELECT o_custkey * 4 + o_orderkey % 3 + 1 AS tbl")},
+p AS (SELECT DISTINCT o_custkey AS doc_id, g AS page FROM orders, (SELECT unnest([1, 2, 3]) AS g)),
+k AS (SELECT doc_id, page, CASE WHEN (doc_id + page) % 4 <> 0 AND n >= 2 AND len(rs[1]) >= 2 THEN 1 ELSE 0 END AS n, rs FROM p LEFT JOIN t ON tbl = doc_id * 4 + page)
+SELECT doc_id, page, n AS n_tables, md5(CASE WHEN n = 1 THEN array_to_string(rs[1], '|') || chr(10) || array_to_string(list_transform(rs[2:], lambda r: array_to_string(r, '|')), chr(10)) ELSE '' END) AS digest FROM k""")
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    row = F.when(k % 5 == 0, F.array(s, F.lit(" "))).when(k % 7 == 0, F.array(s)).otherwise(F.array(s, F.col("o_orderpriority")))
+    orders = S.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (k % 3 + 1).cast("int").alias("page"), k.alias("k"), row.alias("r"))
+    raw = orders.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]).alias("cells")).withColumn("table_index", F.lit(0))
+    pages = orders.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("page"))
+    pages = pages.withColumn("text", F.when((F.col("doc_id") + F.col("page")) % 4 == 0, " ").otherwise("text"))
+    lines = lambda t: F.concat_ws("\n", F.array_join(t["headers"], "|"), F.array_join(F.transform(t["rows"], lambda r: F.array_join(r, "|")), "\n"))
+    out = tables.page_tables(pages, raw)
+    return out.select("doc_id", "page", F.size("tables").alias("n_tables"), F.md5(F.array_join(F.transform("tables", lines), "")).alias("digest"))
+
+
+@query(f"WITH {S.PAGE_CONF}, {_STITCH}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM stitched) SELECT doc_id, page, 'Page boundary stitch: merged with page ' || (i + 1) AS warning FROM n WHERE merges")
+def stitch_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.stitch(S.page_conf(spark, sf_dir)).select("doc_id", "page", F.explode("stitch_warnings").alias("warning"))
+
+
+_CLASSES = f"""{S.WORD_PAGES}, {S.BLOCKS}, {_COVER}, r AS (SELECT doc_id, word_pages.page, CASE WHEN word_pages.page % 5 = 0 THEN '' WHEN word_pages.page % 7 = 0 THEN 'ગુજરાતી' ELSE text END AS a, CASE WHEN word_pages.page % 10 = 0 THEN '' ELSE 'block ' || text END AS b,
+  CASE WHEN word_pages.page % 20 = 0 THEN 'ab' ELSE text || ' word' END AS w, CASE WHEN doc_id % 3 = 0 THEN 'rescued' ELSE '' END AS f, doc_id % 2 = 0 AS img, coalesce(coverage, 0) AS coverage FROM word_pages LEFT JOIN cov ON cov.page = doc_id * 3 + word_pages.page),
+q1 AS (SELECT *, CASE WHEN length(a) < 20 THEN greatest(length(a), length(b)) ELSE length(a) END AS n1, regexp_matches(a, '[\\x{{0A80}}-\\x{{0AFF}}]') AS gu, count(*) OVER (PARTITION BY doc_id) AS pages FROM r),
+q2 AS (SELECT *, CASE WHEN n1 < 20 THEN greatest(n1, length(w)) ELSE n1 END AS n2 FROM q1), q3 AS (SELECT *, CASE WHEN n2 < 5 THEN greatest(n2, length(f)) ELSE n2 END AS n3 FROM q2)"""
+
+
+@query(f"""WITH {_CLASSES} SELECT doc_id, page, (CASE WHEN pages = 1 THEN greatest(n3, length(f)) ELSE n3 END)::INT AS char_count,
+CASE WHEN pages = 1 AND (f <> '' OR NOT img) THEN 'digital' WHEN (n3 >= 20 AND coverage > 0.005) OR coverage > 0.01 OR (gu AND (n3 >= 5 OR coverage > 0.002)) THEN 'digital' ELSE 'scanned' END AS pdf_type FROM q3""")
+def classify_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, t = F.col("page"), F.col("text")
+    cover = classify.text_coverage(S.blocks(spark, sf_dir), ["page"], F.lit(612.0 * 792.0)).withColumnRenamed("page", "at")
+    p = S.word_pages(spark, sf_dir).select(
+        "doc_id", "page", (F.col("doc_id") * 3 + n).alias("at"), F.when(n % 5 == 0, "").when(n % 7 == 0, "ગુજરાતી").otherwise(t).alias("text"), F.when(n % 10 == 0, "").otherwise(F.concat(F.lit("block "), t)).alias("block_text"),
+        F.when(n % 20 == 0, "ab").otherwise(F.concat(t, F.lit(" word"))).alias("word_text"), (F.col("doc_id") % 2 == 0).alias("has_images"),
+    ).join(cover, "at", "left").drop("at")
+    fallback = S.read(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("rescued").alias("text"))
+    fallback = p.select("doc_id", "page").join(fallback, "doc_id")
+    return classify.classify_pages(classify.with_fallback(p, fallback)).select("doc_id", "page", "char_count", "pdf_type")
+
+
+_STATE = "CASE WHEN doc_id % 4 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'processing' ELSE 'done' END"
+
+
+@query(f"""WITH res AS (SELECT doc_id AS job_id, sha256(text) AS sha256, {_STATE} = 'done' AND doc_id % 3 <> 0 AS fresh FROM documents),
+f AS (SELECT sha256, min(job_id) FILTER (fresh) AS cached, min(job_id) FILTER (NOT fresh) AS stale FROM res GROUP BY sha256)
+SELECT doc_id AS job_id, CASE WHEN cached < doc_id THEN 'reuse' ELSE 'process' END AS action, CASE WHEN cached < doc_id THEN doc_id WHEN stale <> doc_id THEN stale END AS delete_job FROM documents JOIN f ON f.sha256 = sha256(text)""")
+def upload_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.sha2("text", 256).alias("sha256"))
+    as_of, j = F.to_timestamp(F.lit("2024-01-01 00:00:00")), F.col("job_id")
+    until = F.when(j % 3 != 0, as_of + F.expr("INTERVAL 1 HOUR")).otherwise(as_of - F.expr("INTERVAL 1 HOUR"))
+    results = d.withColumns({"status": F.when(j % 4 == 0, "failed").when(j % 5 == 0, "processing").otherwise("done"), "expires_at": until})
+    return jobs.reuse(d, results, as_of).select("job_id", "action", "delete_job")
+
+
+@query(f"""WITH {S.JOBS}, {_STATUS} SELECT job_id, CASE status WHEN 'unknown' THEN 404 WHEN 'expired' THEN 410 WHEN 'done' THEN 200 ELSE 202 END AS text_status, CASE status WHEN 'unknown' THEN 404 ELSE 200 END AS state_status FROM st""")
+def view_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _status(spark, sf_dir).select("job_id", jobs.view_status(F.col("status"), "text").alias("text_status"), jobs.view_status(F.col("status"), "status").alias("state_status"))

@@ -23,9 +23,13 @@ MOJIBAKE = ["Â©", "Â®", "â„¢"]
 GUJARATI = r"[\x{0A80}-\x{0AFF}]"
 
 
+#: The characters of BLANK.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end; tabs and Unicode spaces included."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def split_lines(c: Column) -> Column:
@@ -67,14 +71,18 @@ def casefold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+#: What NFKC may change: all but ASCII and the letters of U+00C0 to U+00FF, which it leaves alone unless a mark follows.
+_UNSETTLED = r"[^\x00-\x7F\x{C0}-\x{FF}]"
+
+
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC; Spark has no built-in for it, so this is an Arrow function."""
-    return _nfkc(c)
+    """Unicode NFKC. Spark has no built-in for it, so texts that it may change, and no others, go through an Arrow function."""
+    return F.coalesce(_nfkc(F.when(c.rlike(_UNSETTLED), c)), c)
 
 
 def remove_artifacts(c: Column) -> Column:
@@ -89,7 +97,7 @@ def normalize_whitespace(c: Column) -> Column:
 
 
 def clean_line(c: Column, unicode: bool = False) -> Column:
-    """Artifacts and outer white space removed; with unicode, after NFKC."""
+    """Artifacts and outer white space removed; with unicode, after NFKC (which whole texts have behind them before they are cut)."""
     return strip(remove_artifacts(nfkc(c) if unicode else c))
 
 

@@ -37,6 +37,20 @@ def single_page(pages: DataFrame) -> DataFrame:
     return out.withColumn("char_count", F.when(n == 1, F.greatest("char_count", rescue)).otherwise(F.col("char_count")))
 
 
+def classify_pages(pages: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """pages (doc_id, page, text, block_text, word_text, rescue_text, has_images, coverage) with char_count and pdf_type, the single-page rule applied."""
+    chars = char_count(F.col("text"), F.col("block_text"), F.col("word_text"), F.col("rescue_text"))
+    counted = pages.withColumns({"char_count": chars, "coverage": F.coalesce("coverage", F.lit(0.0))})
+    gujarati = F.coalesce(*[F.when(T.has_gujarati(F.col(c)), True) for c in ("text", "block_text", "word_text", "rescue_text")], F.lit(False))
+    return single_page(counted.withColumn("pdf_type", page_type(F.col("char_count"), F.col("coverage"), gujarati, threshold)))
+
+
+def with_fallback(pages: DataFrame, fallback: DataFrame) -> DataFrame:
+    """pages with rescue_text of `fallback` (doc_id, page, text), empty where it has none."""
+    other = fallback.select("doc_id", "page", F.col("text").alias("rescue_text"))
+    return pages.join(other, ["doc_id", "page"], "left").withColumn("rescue_text", F.coalesce("rescue_text", F.lit("")))
+
+
 def document_type(pages: DataFrame) -> DataFrame:
     """doc_id, overall_type, digital_page_count, scanned_page_count, total_pages."""
     g = pages.groupBy("doc_id").agg(F.count_if(F.col("pdf_type") == "digital").alias("digital_page_count"), F.count_if(F.col("pdf_type") == "scanned").alias("scanned_page_count"), F.count("*").alias("total_pages"))
@@ -53,8 +67,14 @@ def display_language(language: Column) -> Column:
     return F.when(low.isin("gu", "guj", "gujarati"), "gujarati").when(low.isin("en", "eng", "english"), "english").when(low == "", "unknown").otherwise(low)
 
 
-def engine_label(scanned: Column, language: Column) -> Column:
-    return F.when(scanned > 0, F.when(display_language(language) == "gujarati", "tesseract").otherwise("paddleocr"))
+def engine_label(scanned: Column, ocr_language: str) -> Column:
+    """The engine that read scanned pages; null if there are none."""
+    return F.when(scanned > 0, "Tesseract" if ocr_language == "gujarati" else "Paddle")
+
+
+def document_language(scanned: Column, detected: Column, ocr_language: str) -> Column:
+    """Gujarati where scanned pages were read as such, else the detected language's name."""
+    return F.when((scanned > 0) & F.lit(ocr_language == "gujarati"), "gujarati").otherwise(display_language(detected))
 
 
 def route(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,15 +86,27 @@ def unite(digital: DataFrame, scanned: DataFrame) -> DataFrame:
     return digital.unionByName(scanned, allowMissingColumns=True)
 
 
+_GUJARATI, _ENGLISH = ("gu", "guj", "gujarati"), ("en", "eng", "english")
+
+
 def resolve_ocr_language(language: str | None, engine: str | None, languages: list[str] | None = None) -> str:
-    """The first that is set of an engine's own language, the language, the first of the list, and english."""
-    norm = {"gu": "gujarati", "guj": "gujarati", "en": "english", "eng": "english"}
-    if engine in ("tesseract", "paddle"):
-        return "gujarati" if engine == "tesseract" else "english"
-    for x in (language if (language or "").lower() not in ("en", "eng", "english") else None, (languages or [None])[0], language):
-        if x:
-            return norm.get(x.lower(), x.lower())
-    return "english"
+    """What scanned pages are read as: gujarati for the engine tesseract, english for paddle, else gujarati where the language or the
+    first of the list, even under another language, asks for it, else english."""
+    low = lambda x: (x or "").strip().lower()
+    own = {"tesseract": "gujarati", "paddle": "english"}.get(low(engine) or "hybrid")
+    first = languages[0] if languages else None
+    return own or ("gujarati" if low(language) in _GUJARATI or low(first) in _GUJARATI else "english")
+
+
+def resolve_engine_language(language: str | None, engine: str | None, configured: str | None = None) -> str:
+    """What an engine called on its own reads: the language given, the engine's own, the configured one, english."""
+
+    def named(x: str | None) -> str | None:
+        v = (x or "").strip().lower()
+        return "gujarati" if v in _GUJARATI else "english" if v in _ENGLISH else None
+
+    own = {"tesseract": "gujarati", "paddle": "english"}.get((engine or "hybrid").strip().lower())
+    return named(language) or own or named(configured) or "english"
 
 
 def best_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:

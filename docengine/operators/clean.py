@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from docengine.functions import text as T
 
@@ -16,8 +18,45 @@ LONG_KEY, SIMILAR, RECENT, LENGTH_GAP, EDGE = 40, 0.92, 10, 12, 12
 
 
 def to_lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """keys, line_no (from 0), line."""
-    return df.select(*keys, F.posexplode(T.split_lines(F.col(text))).alias("line_no", "line"))
+    """keys, line_no (from 0), line, after NFKC."""
+    return df.select(*keys, F.posexplode(T.split_lines(T.nfkc(F.col(text)))).alias("line_no", "line"))
+
+
+def solid_lines(lines: Column) -> Column:
+    """Of an array of lines, those that are no noise, cleaned."""
+    return F.filter(F.transform(lines, lambda x: T.clean_line(x)), lambda x: (x != "") & ~T.is_noise(x, stripped=True))
+
+
+def first_of_equal(df: DataFrame, lines: str, key: Callable[[Column], Column] = T.casefold) -> DataFrame:
+    """df with the array column `lines` without lines equal to an earlier one by `key`.
+
+    Sorted by key and place, the first of equals is the one whose neighbour has another key; no line leaves its row.
+    """
+    order = F.array_sort(F.transform(lines, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("line"))))
+    marked = df.withColumn("_s", order)
+    one = F.array(F.struct(F.lit(None).cast("string").alias("k"), F.lit(-1).alias("i"), F.lit(None).cast("string").alias("line")))
+    before = F.concat(one, F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))))
+    kept = F.zip_with("_s", before, lambda a, b: F.when(a.isNotNull() & ~a["k"].eqNullSafe(b["k"]), F.struct(a["i"].alias("i"), a["line"].alias("line"))))
+    return marked.withColumn(lines, F.transform(F.array_sort(F.filter(kept, lambda x: x.isNotNull())), lambda x: x["line"])).drop("_s")
+
+
+def some_lines(df: DataFrame, lines: str) -> DataFrame:
+    """Rows of df whose array `lines` is not empty.
+
+    A filter would be pushed below what makes the lines, which would then be done twice; as an array of one it is done once.
+    """
+    one = F.explode(F.filter(F.array(lines), lambda x: F.size(x) > 0)).alias(lines)
+    return df.select(*[one if c == lines else F.col(c) for c in df.columns])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _near_lines(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: [line for line, new in zip(x, _fresh(x)) if new], na_action="ignore")
+
+
+def without_near(lines: Column) -> Column:
+    """An array of lines without those nearly equal to an earlier one. What is kept depends on what was kept before, hence an Arrow function, on rows as they are."""
+    return _near_lines(lines)
 
 
 def remove_noise(lines: DataFrame) -> DataFrame:
@@ -48,12 +87,12 @@ def drop_headers(lines: DataFrame) -> DataFrame:
     return lines.join(repeated_lines(lines).select("doc_id", "line"), ["doc_id", "line"], "left_anti")
 
 
-def _near(frame: pd.DataFrame) -> pd.DataFrame:
+def _fresh(lines) -> list[bool]:
     seen: set = set()
     prints: set = set()
     recent: deque = deque(maxlen=RECENT)
     keep = []
-    for line in frame["line"]:
+    for line in lines:
         key = line.strip().casefold()
         new = bool(key) and key not in seen
         if new and len(key) > LONG_KEY:
@@ -65,7 +104,11 @@ def _near(frame: pd.DataFrame) -> pd.DataFrame:
         if new:
             seen.add(key)
         keep.append(new)
-    return frame[pd.Series(keep, index=frame.index)]
+    return keep
+
+
+def _near(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame[pd.Series(_fresh(frame["line"]), index=frame.index, dtype=bool)]
 
 
 def drop_near(lines: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
@@ -89,21 +132,37 @@ def join_lines(lines: DataFrame, keys: list[str], order: list[str], sep: str = "
 
 
 def clean_text(df: DataFrame, *keys: str, near: bool = True) -> DataFrame:
-    """keys, text of each text cleaned as one block. Texts without a line left are not returned; join them back where needed."""
-    lines = remove_noise(to_lines(df, *keys))
-    lines = drop_near(lines, list(keys)) if near else drop_exact(lines, list(keys), ["line_no"])
-    out = join_lines(lines, list(keys), ["line_no"])
-    return out.withColumn("text", T.normalize_whitespace(F.col("text")))
+    """keys, text, n_lines of each text cleaned as one block, after NFKC, without a shuffle. Texts without a line left are not returned; join them back where needed."""
+    lines = df.select(*keys, solid_lines(T.split_lines(T.nfkc(F.col("text")))).alias("lines"))
+    kept = lines.withColumn("lines", without_near(F.col("lines"))) if near else first_of_equal(lines, "lines")
+    return some_lines(kept, "lines").select(*keys, T.normalize_whitespace(F.array_join("lines", "\n")).alias("text"), F.size("lines").cast("long").alias("n_lines"))
+
+
+def clean_block(df: DataFrame, text: str, near: bool = True) -> DataFrame:
+    """df with the column `text`, which has NFKC behind it, cleaned as one block; an empty text where no line is left."""
+    lines = df.withColumn("_lines", solid_lines(T.split_lines(F.col(text))))
+    kept = lines.withColumn("_lines", without_near(F.col("_lines"))) if near else first_of_equal(lines, "_lines")
+    return kept.withColumn(text, T.normalize_whitespace(F.array_join("_lines", "\n"))).drop("_lines")
 
 
 def clean_pages(pages: DataFrame, near: bool = True) -> DataFrame:
-    """doc_id, page, text of cleaned pages; in documents of two pages and more, headers and footers go first."""
-    lines = to_lines(pages, "doc_id", "page").withColumn("line", T.clean_line(F.col("line"))).where("line <> ''")
-    once = drop_exact(lines, ["doc_id", "page"], ["line_no"], F.col("line"))
-    kept = drop_headers(once).where(~T.is_noise(F.col("line")))
-    kept = drop_near(kept.select("doc_id", "page", "line_no", "line"), ["doc_id", "page"]) if near else drop_exact(kept, ["doc_id", "page"], ["line_no"])
-    joined = join_lines(kept, ["doc_id", "page"], ["line_no"]).withColumn("text", T.normalize_whitespace(F.col("text")))
-    return pages.select("doc_id", "page").join(joined, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
+    """The rows of `pages` (doc_id, page, text and others) with texts cleaned; in documents of two pages and more, headers and footers go first.
+
+    Lines stay in their page's row; what is shuffled are the short lines that may be headers, counted by document.
+    """
+    rest = [c for c in pages.columns if c != "text"]
+    cut = pages.select(*rest, F.filter(F.transform(T.split_lines(T.nfkc(F.col("text"))), lambda x: T.clean_line(x)), lambda x: x != "").alias("lines"))
+    once = first_of_equal(cut, "lines", lambda x: x)
+    # a null line stands for the page itself
+    short = F.concat(F.filter("lines", lambda x: T.word_count(x) <= HEADER_WORDS), F.array(F.lit(None).cast("string")))
+    counted = some_lines(once, "lines").select("doc_id", F.explode(short).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("df"))
+    of = counted.groupBy("doc_id").agg(F.max(F.when(F.col("line").isNull(), F.col("df"))).alias("pages"), F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "df"))).alias("ls"))
+    often = F.filter("ls", lambda x: x["df"] / F.col("pages") >= HEADER_SHARE)
+    heads = of.where("pages >= 2").select("doc_id", F.transform(often, lambda x: x["line"]).alias("heads"))
+    body = once.join(heads, "doc_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
+    kept = body.withColumn("lines", F.filter("lines", lambda x: ~F.array_contains("heads", x) & ~T.is_noise(x, stripped=True))).drop("heads")
+    kept = kept.withColumn("lines", without_near(F.col("lines"))) if near else first_of_equal(kept, "lines")
+    return kept.select(*[T.normalize_whitespace(F.array_join("lines", "\n")).alias("text") if c == "text" else F.col(c) for c in pages.columns])
 
 
 def full_text(pages: DataFrame) -> DataFrame:

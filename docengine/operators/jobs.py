@@ -21,14 +21,48 @@ def expires_at(as_of: Column, seconds: int = RESULT_SECONDS) -> Column:
 def reuse(uploads: DataFrame, results: DataFrame, as_of: Column, reuse_failed: bool = False) -> DataFrame:
     """uploads (job_id, sha256) with cached_job and action: "reuse" where a fresh result of the same content exists, else "process".
 
-    Of several, the smallest job_id is reused. Results: job_id, sha256, status, expires_at.
+    Of several, the smallest job_id is reused. delete_job is the job whose files go: the upload's own where another is reused, the smallest with a
+    stale result of the same content where it is processed anew. Results: job_id, sha256, status, expires_at.
     """
-    fresh = results.where(F.col("expires_at") > as_of)
-    fresh = fresh if reuse_failed else fresh.where("status = 'done'")
-    first = fresh.groupBy("sha256").agg(F.min("job_id").alias("cached"))
+    fresh = F.coalesce(F.col("expires_at") > as_of, F.lit(False))
+    fresh = fresh if reuse_failed else fresh & (F.col("status") == "done")
+    first = results.groupBy("sha256").agg(F.min(F.when(fresh, F.col("job_id"))).alias("cached"), F.min(F.when(~fresh, F.col("job_id"))).alias("stale"))
     out = uploads.join(first, "sha256", "left")
     other = F.when(F.col("cached") < F.col("job_id"), F.col("cached"))
-    return out.withColumn("cached_job", other).withColumn("action", F.when(other.isNotNull(), "reuse").otherwise("process")).drop("cached")
+    gone = F.when(other.isNotNull(), F.col("job_id")).when(F.col("stale") != F.col("job_id"), F.col("stale"))
+    return out.withColumns({"cached_job": other, "action": F.when(other.isNotNull(), "reuse").otherwise("process"), "delete_job": gone}).drop("cached", "stale")
+
+
+RETRIES, RETRY_SECONDS, RETRYABLE = 2, 10, ("OSError", "MemoryError", "FileNotFoundError", "PermissionError", "ConnectionError", "TimeoutError")
+
+
+def after_error(error: Column, attempts: Column) -> Column:
+    """What follows an error (its type's name) of a job that has been retried `attempts` times: retry for what may pass, fail for all else."""
+    return F.when(error.isin(*RETRYABLE) & (attempts < RETRIES), "retry").otherwise("fail")
+
+
+def soft_limit(seconds: int) -> int:
+    """When a job is asked to end before it is ended."""
+    return max(30, seconds - 30)
+
+
+def cancel(states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, status "cancelled", was of all of `jobs`, known or not: a cancellation always succeeds. Whoever runs them interrupts by the job's tag."""
+    return jobs.select("job_id").distinct().join(states.select("job_id", F.col("state").alias("was")), "job_id", "left").select("job_id", F.lit("cancelled").alias("status"), "was")
+
+
+def purged(uploads: DataFrame, as_of: Column, seconds: int = 3600) -> DataFrame:
+    """n, the number of uploads that are purged."""
+    return stale_uploads(uploads, as_of, seconds).agg(F.count("*").alias("n"))
+
+
+def view_status(status_: Column, view: str) -> Column:
+    """What a view answers: text and tables say 202 for whatever is neither done, expired nor unknown, a failed job included."""
+    if view == "status":
+        return F.when(status_ == "unknown", 404).otherwise(200)
+    if view in ("text", "tables"):
+        return F.when(status_ == "unknown", 404).when(status_ == "expired", 410).when(status_ == "done", 200).otherwise(202)
+    return http_status(status_)
 
 
 def worker_state(state: Column) -> Column:

@@ -12,32 +12,24 @@ def ocr_tolerance(dpi: Column) -> Column:
     return F.greatest(F.lit(2), F.bround(8 * dpi / 300).cast("int"))
 
 
-def _anchored(items: Column, value, gap: Column, kind: str) -> Column:
-    """Items with the number of their group: a new one begins further than `gap` from the group's first item.
+def anchors(values: Column, gap: Column) -> Column:
+    """Of ascending values, the first of each group: a new one begins further than `gap` from its group's first.
 
-    What a group's first item is depends on all before it, so this is a fold, not a lag.
+    What a group's first is depends on all before it, so this is a fold, not a lag; it carries groups, not items.
     """
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(value(x) - acc["anchor"]) > gap)
-        n = acc["n"] + new.cast("int")
-        return F.struct(F.when(new, value(x)).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(n.alias("row"), x.alias("item")))).alias("out"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    start = F.array().cast("array<double>")
+    return F.aggregate(values, start, lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) > gap), F.array_append(acc, y)).otherwise(acc))
 
 
 def reading_order(blocks: DataFrame, keys: list[str], tolerance: Column | None = None) -> DataFrame:
     """blocks with row (from 0) and position (from 1): rows of like y0 from the top, each from left to right."""
     gap = F.lit(ROW_TOLERANCE) if tolerance is None else tolerance.cast("double")
     columns = [c for c in blocks.columns if c not in keys]
-    item = F.struct(F.col("y0").alias("_y"), F.col("ord").alias("_o"), F.struct(*columns).alias("b"))
-    inner = blocks.select(item.alias("i")).schema["i"].dataType.simpleString()
-    grouped = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(gap).alias("gap"))
-    placed = grouped.select(*keys, F.explode(_anchored(F.col("items"), lambda x: x["_y"], F.col("gap"), f"array<struct<row:int,item:{inner}>>")).alias("p"))
-    flat = placed.select(*keys, "p.item.b.*", F.col("p.row").alias("row"))
-    w = Window.partitionBy(*keys).orderBy("row", "x0", "y0", "ord")
-    return flat.withColumn("position", F.row_number().over(w))
+    grouped = blocks.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("items"), F.array_sort(F.collect_set("y0")).alias("ys"), F.max(gap).alias("gap"))
+    rows = grouped.withColumn("tops", anchors(F.col("ys"), F.col("gap")))
+    of = F.transform("items", lambda b: F.struct((F.size(F.filter("tops", lambda t: t <= b["y0"])) - 1).alias("row"), b["x0"].alias("x"), b["y0"].alias("y"), b["ord"].alias("o"), b.alias("b")))
+    placed = rows.select(*keys, F.posexplode(F.array_sort(of)).alias("p", "i"))
+    return placed.select(*keys, *[F.col(f"i.b.{c}").alias(c) for c in columns], F.col("i.row").alias("row"), (F.col("p") + 1).alias("position"))
 
 
 def columns_of(blocks: DataFrame, keys: list[str], width: float = PAGE_WIDTH) -> DataFrame:
@@ -105,13 +97,29 @@ def blank_paragraphs(lines: DataFrame, keys: list[str], gap: int = 2) -> DataFra
 
 
 def pair_up(df: DataFrame, eligible: Column, keys: list[str], order: str) -> DataFrame:
+    """df with merges and merged: rows that greedy pairing from the top joins to the next, and those next ones.
+
+    They are at the odd places of each run of eligible rows, counted from the last row that is not; all in windows of one order.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    # rows that merge are at the odd places of each run of eligible rows, as greedy pairing from the top takes them
-    marked = df.withColumn("_ok", F.coalesce(eligible, F.lit(False)))
-    marked = marked.withColumn("_run", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(w))
-    place = F.row_number().over(Window.partitionBy(*keys, "_run", "_ok").orderBy(order))
-    marked = marked.withColumn("merges", F.col("_ok") & (place % 2 == 1))
-    return marked.withColumn("merged", F.coalesce(F.lag("merges").over(w), F.lit(False))).drop("_ok", "_run")
+    marked = df.withColumns({"_ok": F.coalesce(eligible, F.lit(False)), "_n": F.row_number().over(w)})
+    marked = marked.withColumn("_stop", F.coalesce(F.max(F.when(~F.col("_ok"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    marked = marked.withColumn("merges", F.col("_ok") & ((F.col("_n") - F.col("_stop")) % 2 == 1))
+    return marked.withColumn("merged", F.coalesce(F.lag("merges").over(w), F.lit(False))).drop("_ok", "_n", "_stop")
+
+
+def merge_hyphens_in(df: DataFrame, lines: str) -> DataFrame:
+    """df with the array column `lines` after `merge_hyphens`, row by row.
+
+    A line of flags, one a line, is paired by one replacement from the left, which is what greedy pairing does.
+    """
+    flags = F.transform(lines, lambda x, i: F.when(x.endswith("-") & (i < F.size(lines) - 1), "E").otherwise("N"))
+    marks = F.split(F.regexp_replace(F.array_join(flags, ""), "E.", "MX"), "")
+    after = F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.array(F.lit(None).cast("string")))
+    both = F.arrays_zip(F.col(lines).alias("a"), after.alias("b"), marks.alias("m"))
+    joined = lambda x: F.concat(F.left(x["a"], F.length(x["a"]) - 1), F.regexp_replace(x["b"], r"^\s+", ""))
+    out = F.transform(F.filter(both, lambda x: (x["m"] != "X") & x["a"].isNotNull()), lambda x: F.when(x["m"] == "M", joined(x)).otherwise(x["a"]))
+    return df.withColumn(lines, out)
 
 
 def merge_hyphens(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,27 @@ def digital_tables(raw: DataFrame) -> DataFrame:
     return raw.where(big).withColumn("cells", clean).withColumns({"headers": F.element_at("cells", 1), "rows": F.slice("cells", F.lit(2), F.size("cells"))}).drop("cells")
 
 
+def table_pages(pages: DataFrame, total: str | None = None) -> DataFrame:
+    """doc_id, page of the distinct pages to be searched for tables: those with text, and within 1 to `total` if that column is given."""
+    from docengine.functions.text import strip
+
+    solid = pages.where(strip(F.coalesce("text", F.lit(""))) != "")
+    solid = solid.where(F.col("page").between(F.lit(1), F.col(total))) if total else solid
+    return solid.select("doc_id", "page").distinct()
+
+
+def page_tables(pages: DataFrame, raw: DataFrame) -> DataFrame:
+    """pages with their tables out of raw cells (doc_id, page, table_index, cells); raw tables of blank pages are not looked at."""
+    found = digital_tables(raw.join(table_pages(pages), ["doc_id", "page"], "left_semi")).withColumn("extraction_method", F.lit("pdfplumber"))
+    return with_tables(pages, found)
+
+
+def document_tables(pages: DataFrame) -> DataFrame:
+    """doc_id, tables of all pages in page order."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", "tables")))
+    return pages.groupBy("doc_id").agg(F.flatten(F.transform(ordered, lambda x: x["tables"])).alias("tables"))
+
+
 def cluster(positions: Column, gap: float = CLUSTER_GAP) -> Column:
     """Of sorted distinct positions, those further than `gap` from the last one kept."""
     start = F.array().cast("array<double>")

@@ -13,14 +13,36 @@ MOST_WARNINGS = 50
 
 
 def stitch(pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page, text, ...) with those that break off joined to the next, whose text becomes empty; stitched tells which."""
+    """Pages (doc_id, page, text, ...) with those that break off joined to the next, whose text becomes empty; stitched tells which.
+
+    stitch_warnings holds a stitched page's warning, which names the next page by its place among the document's.
+    """
     w = Window.partitionBy("doc_id").orderBy("page")
     nxt = pages.withColumn("_next", F.lead("text").over(w))
     open_ = (T.strip(F.col("text")) != "") & (T.strip(F.col("_next")) != "") & ~T.strip(F.col("text")).rlike(r"[.!?।॥]$") & T.strip(F.col("_next")).rlike(r"^\p{Ll}")
     marked = pair_up(nxt, open_, ["doc_id"], "page")
     joined = F.concat(T.strip(F.col("text")), F.lit(" "), T.strip(F.col("_next")))
     text = F.when(F.col("merges"), joined).when(F.col("merged"), "").otherwise(F.col("text"))
-    return marked.withColumn("text", text).withColumnRenamed("merges", "stitched").drop("_next", "merged")
+    place = F.row_number().over(w) + 1
+    warning = F.when(F.col("merges"), F.array(F.format_string("Page boundary stitch: merged with page %d", place))).otherwise(F.array().cast("array<string>"))
+    return marked.withColumns({"stitch_warnings": warning, "text": text}).withColumnRenamed("merges", "stitched").drop("_next", "merged")
+
+
+def all_warnings(pages: DataFrame) -> DataFrame:
+    """Stitched pages with warnings: their own, if they have any, that of stitching, and flags."""
+    own = [F.coalesce("warnings", F.array().cast("array<string>"))] if "warnings" in pages.columns else []
+    return pages.withColumn("warnings", F.concat(*own, "stitch_warnings", page_flags(F.col("text"), F.col("confidence")))).drop("stitch_warnings")
+
+
+def valid_confidence(c: Column) -> Column:
+    """Whether a confidence is one: between 0 and 1, not null, not NaN."""
+    return F.coalesce((c >= 0) & (c <= 1) & ~F.isnan(c.cast("double")), F.lit(False))
+
+
+def invalid_tables(tables: DataFrame) -> DataFrame:
+    """doc_id, table_issues (page, table_index, issues) of the tables that have any, in order."""
+    issues = tables.select("doc_id", "page", "table_index", table_issues(F.col("headers"), F.col("rows")).alias("issues")).where(F.size("issues") > 0)
+    return issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "table_index", "issues"))).alias("table_issues"))
 
 
 def page_flags(text: Column, confidence: Column) -> Column:
@@ -74,10 +96,23 @@ def fill_rate(headers: Column, rows: Column) -> Column:
     return F.when(F.size(cells) == 0, F.lit(0.0)).otherwise(F.round(full / F.size(cells), 4))
 
 
-def report(pages: DataFrame) -> DataFrame:
-    """One row per document: pages, stitched pages, confidence, quality, language, warnings. Stitching comes before flags, so a page emptied by it is flagged."""
-    done = stitch(pages).withColumn("warnings", page_flags(F.col("text"), F.col("confidence")))
-    base = done.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if("stitched").alias("stitched"))
-    sample = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.substring("text", 1, 500).alias("t")))), lambda x: x["t"]), " ")
-    lang = done.groupBy("doc_id").agg(T.detect_language(sample).alias("language"))
-    return base.join(document_confidence(done), "doc_id").join(lang, "doc_id").join(warnings_rollup(done), "doc_id")
+def report(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """One row per document: pages, stitched pages, confidence, quality, language, warnings, table issues. Stitching comes before flags, so a page emptied by it is flagged.
+
+    One exchange by doc_id serves the windows and the aggregate.
+    """
+    done = all_warnings(stitch(pages))
+    own = F.transform("warnings", lambda w: F.format_string("Page %d: %s", F.col("page"), w))
+    known = F.coalesce("confidence", F.when(F.col("text") != "", 0.95).otherwise(0.0))
+    rows = F.array_sort(F.collect_list(F.struct("page", F.substring("text", 1, 500).alias("t"), own.alias("own"))))
+    out = done.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if("stitched").alias("stitched"), F.round(F.avg(known), 4).alias("confidence"), rows.alias("rows"))
+    sample, warned = F.array_join(F.transform("rows", lambda x: x["t"]), " "), F.flatten(F.transform("rows", lambda x: x["own"]))
+    out = out.select(
+        "doc_id", "pages", "stitched", "confidence", quality(F.col("confidence")).alias("quality"), T.detect_language(sample).alias("language"),
+        F.slice(warned, 1, MOST_WARNINGS).alias("warnings"), (F.size(warned) > MOST_WARNINGS).alias("warnings_truncated"), F.size(warned).alias("total_warning_count"),
+    )
+    none = F.array().cast("array<struct<page:int,table_index:int,issues:array<string>>>")
+    if tables is None:
+        return out.withColumn("table_issues", none)
+    bad = invalid_tables(tables).withColumn("table_issues", F.col("table_issues").cast("array<struct<page:int,table_index:int,issues:array<string>>>"))
+    return out.join(bad, "doc_id", "left").withColumn("table_issues", F.coalesce("table_issues", none))

@@ -15,8 +15,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, text: forty words a page."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "").alias("ws")).where(F.size("ws") > 0)
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / PAGE_WORDS).cast("int"))).alias("p")
-    return d.select("doc_id", "ws", at).select("doc_id", (F.col("p") + 1).alias("page"), F.array_join(F.slice("ws", F.col("p") * PAGE_WORDS + 1, PAGE_WORDS), " ").alias("text"))
+    first = F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / PAGE_WORDS).cast("int"))
+    texts = F.transform(first, lambda p: F.array_join(F.slice("ws", p * PAGE_WORDS + 1, PAGE_WORDS), " "))
+    return d.select("doc_id", F.posexplode(texts).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page"), "text")
 
 
 WORD_PAGES = f"""
@@ -77,13 +78,13 @@ page_lines AS (
 """
 
 
-def fixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut every sixty characters, with a hyphen where that parts two letters."""
+def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lines: texts cut every sixty characters, with a hyphen where that parts two letters."""
     flat = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t")).where(F.length("t") > 0)
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / CUT).cast("int"))).alias("line_no")
-    cut = flat.select("doc_id", "t", at).withColumn("s", F.substring("t", F.col("line_no") * CUT + 1, F.lit(CUT)))
-    parts = F.right("s", F.lit(1)).rlike(r"\p{L}") & F.substring("t", (F.col("line_no") + 1) * CUT + 1, F.lit(1)).rlike(r"\p{L}")
-    return cut.select("doc_id", "line_no", F.when(parts, F.concat("s", F.lit("-"))).otherwise(F.col("s")).alias("line"))
+    cut = flat.select("doc_id", F.regexp_extract_all("t", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)).alias("s"))
+    after = F.concat(F.slice("s", F.lit(2), F.size("s")), F.array(F.lit("")))
+    parts = lambda a, b: F.right(a, F.lit(1)).rlike(r"\p{L}") & F.left(b, F.lit(1)).rlike(r"\p{L}")
+    return cut.select("doc_id", F.zip_with("s", after, lambda a, b: F.when(parts(a, b), F.concat(a, F.lit("-"))).otherwise(a)).alias("lines"))
 
 
 FIXED_LINES = f"""

@@ -20,9 +20,9 @@ def uploads(spark: SparkSession, folder: str, keep: str = "2 hours") -> DataFram
 
 
 def run(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch extracted and appended to `target`; stops when nothing is left."""
+    """Each micro-batch extracted and written to a folder of its own in `target`, which a replay of the batch overwrites; stops when nothing is left."""
 
     def batch(df: DataFrame, n: int) -> None:
-        extract(df).write.mode("append").parquet(f"{target}/batch={n}")
+        extract(df).write.mode("overwrite").parquet(f"{target}/batch={n}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
