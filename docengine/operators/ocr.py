@@ -127,7 +127,7 @@ def scanned_tables(grids: DataFrame, tokens: DataFrame, keys: list[str]) -> Data
     """
     from docengine.operators.tables import MIN_ROWS, split_by_gap, to_cells
 
-    parts = split_by_gap(grids.select(*keys, F.explode("row_ys").cast("double").alias("y")), keys)
+    parts = split_by_gap(grids.select(*keys, F.explode(F.transform("row_ys", lambda y: y.cast("double"))).alias("y")), keys)
     ys = parts.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("y")).alias("row_ys")).where(F.size("row_ys") > MIN_ROWS)
     bounds = ys.join(grids.select(*keys, F.transform("col_xs", lambda x: x.cast("double")).alias("col_xs")), keys)
     each = tokens.select(*keys, "cx", "cy", "ord", "text").join(bounds.select(*keys, "part"), keys)
