@@ -54,7 +54,8 @@ def doc_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.PAGE_LINES_SQL} SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n, sum(length(line))::BIGINT AS n_chars FROM page_lines GROUP BY ALL")
 def line_noise_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.page_lines(spark, sf_dir).groupBy(F.coalesce(T.noise_reason(F.col("line")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("n_chars"))
+    lines = S.page_lines(spark, sf_dir).select(F.explode("lines").alias("line"))
+    return lines.groupBy(F.coalesce(T.noise_reason(F.col("line")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("n_chars"))
 
 
 @query(f"""WITH {S.PAGE_LINES_SQL},
@@ -63,9 +64,9 @@ p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM o GROUP BY doc_id),
 rep AS (SELECT o.doc_id, line FROM o JOIN p USING (doc_id) GROUP BY o.doc_id, line, pages HAVING count(DISTINCT page) / pages >= 0.6 AND pages >= 2 AND {_WORDS.format('line')} <= 12)
 SELECT doc_id, page, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM o ANTI JOIN rep USING (doc_id, line) GROUP BY doc_id, page""")
 def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = clean.drop_exact(S.page_lines(spark, sf_dir), ["doc_id", "page"], ["line_no"], F.col("line"))
-    out = clean.join_lines(clean.drop_headers(once), ["doc_id", "page"], ["line_no"])
-    return out.select("doc_id", "page", "n_lines", F.md5("text").alias("digest"))
+    once = clean.first_of_equal(S.page_lines(spark, sf_dir), "lines", lambda x: x)
+    out = clean.some_lines(clean.without_heads(once), "lines")
+    return out.select("doc_id", "page", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
 _STITCH = r"""
@@ -366,9 +367,8 @@ k AS (SELECT doc_id, ord, length(t) AS n, CASE WHEN t = '' THEN -1e9 ELSE {_A.fo
 SELECT doc_id, arg_max(ord, {{'s': score, 'o': -ord}})::INT AS ord, round(max(score), 2) AS score FROM k GROUP BY doc_id""")
 def text_candidate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    three = F.array(*[F.struct(F.lit(i).alias("ord"), c.alias("text")) for i, c in enumerate((text, F.lower(text), F.replace(text, F.lit(" "), F.lit("\n"))))])
-    c = S.read(spark, sf_dir, "documents").select("doc_id", F.explode(three).alias("c")).select("doc_id", "c.*")
-    return classify.best_candidate(c, ["doc_id"]).select("doc_id", "ord", F.round("score", 2).alias("score"))
+    best = classify.best_of([text, F.lower(text), F.replace(text, F.lit(" "), F.lit("\n"))])
+    return S.read(spark, sf_dir, "documents").select("doc_id", best.alias("b")).select("doc_id", "b.ord", F.round("b.score", 2).alias("score"))
 
 
 @query(rf"""WITH {S.PAGE_CONF}, n AS (SELECT doc_id, page, coalesce(confidence, 0.2) AS c, text, length(regexp_replace(text, '\s', '', 'g')) AS n, len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '\p{{Nd}}')) AS r FROM page_conf)

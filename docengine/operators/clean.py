@@ -145,22 +145,26 @@ def clean_block(df: DataFrame, text: str, near: bool = True) -> DataFrame:
     return kept.withColumn(text, T.normalize_whitespace(F.array_join("_lines", "\n"))).drop("_lines")
 
 
-def clean_pages(pages: DataFrame, near: bool = True) -> DataFrame:
-    """The rows of `pages` (doc_id, page, text and others) with texts cleaned; in documents of two pages and more, headers and footers go first.
+def without_heads(df: DataFrame, lines: str = "lines", share: float = HEADER_SHARE, most_words: int = HEADER_WORDS) -> DataFrame:
+    """Pages (doc_id, and an array `lines` of distinct lines, among others) without the headers and footers that `repeated_lines` names.
 
-    Lines stay in their page's row; what is shuffled are the short lines that may be headers, counted by document.
+    Lines stay in their page's row; what is shuffled are the short lines that may be headers, counted by document. A null line stands for the page itself.
     """
+    short = F.concat(F.filter(lines, lambda x: T.word_count(x) <= most_words), F.array(F.lit(None).cast("string")))
+    counted = some_lines(df, lines).select("doc_id", F.explode(short).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("df"))
+    of = counted.groupBy("doc_id").agg(F.max(F.when(F.col("line").isNull(), F.col("df"))).alias("pages"), F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "df"))).alias("ls"))
+    often = F.filter("ls", lambda x: x["df"] / F.col("pages") >= share)
+    heads = of.where("pages >= 2").select("doc_id", F.transform(often, lambda x: x["line"]).alias("_heads"))
+    body = df.join(heads, "doc_id", "left").withColumn("_heads", F.coalesce("_heads", F.array().cast("array<string>")))
+    return body.withColumn(lines, F.filter(lines, lambda x: ~F.array_contains("_heads", x))).select(*df.columns)
+
+
+def clean_pages(pages: DataFrame, near: bool = True) -> DataFrame:
+    """The rows of `pages` (doc_id, page, text and others) with texts cleaned; in documents of two pages and more, headers and footers go first."""
     rest = [c for c in pages.columns if c != "text"]
     cut = pages.select(*rest, F.filter(F.transform(T.split_lines(T.nfkc(F.col("text"))), lambda x: T.clean_line(x)), lambda x: x != "").alias("lines"))
-    once = first_of_equal(cut, "lines", lambda x: x)
-    # a null line stands for the page itself
-    short = F.concat(F.filter("lines", lambda x: T.word_count(x) <= HEADER_WORDS), F.array(F.lit(None).cast("string")))
-    counted = some_lines(once, "lines").select("doc_id", F.explode(short).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("df"))
-    of = counted.groupBy("doc_id").agg(F.max(F.when(F.col("line").isNull(), F.col("df"))).alias("pages"), F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "df"))).alias("ls"))
-    often = F.filter("ls", lambda x: x["df"] / F.col("pages") >= HEADER_SHARE)
-    heads = of.where("pages >= 2").select("doc_id", F.transform(often, lambda x: x["line"]).alias("heads"))
-    body = once.join(heads, "doc_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
-    kept = body.withColumn("lines", F.filter("lines", lambda x: ~F.array_contains("heads", x) & ~T.is_noise(x, stripped=True))).drop("heads")
+    body = without_heads(first_of_equal(cut, "lines", lambda x: x))
+    kept = body.withColumn("lines", F.filter("lines", lambda x: ~T.is_noise(x, stripped=True)))
     kept = kept.withColumn("lines", without_near(F.col("lines"))) if near else first_of_equal(kept, "lines")
     return kept.select(*[T.normalize_whitespace(F.array_join("lines", "\n")).alias("text") if c == "text" else F.col(c) for c in pages.columns])
 

@@ -48,13 +48,17 @@ def invalid_tables(tables: DataFrame) -> DataFrame:
 def page_flags(text: Column, confidence: Column) -> Column:
     """Warnings of a page, in order; unknown confidence counts as full."""
     c = F.coalesce(confidence, F.lit(1.0))
-    n = T.word_count(text)
+    # counted once, as the one element of an array
+    few = F.transform(
+        F.array(T.word_count(text)),
+        lambda n: F.when((n > 0) & (n < 10), F.format_string("Very little text extracted (%d words). Possible blank/decorative page.", n)),
+    )[0]
     found = F.array(
         F.when(text == "", "No text extracted from this page."),
         F.when(c < LOW, F.format_string("Very low OCR confidence (%.2f). Page may be too blurry or low resolution.", c)).when(
             c < MEDIUM, F.format_string("Low OCR confidence (%.2f). Review recommended.", c)
         ),
-        F.when((n > 0) & (n < 10), F.format_string("Very little text extracted (%d words). Possible blank/decorative page.", n)),
+        few,
     )
     return F.filter(found, lambda x: x.isNotNull())
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docengine.sources.documents import spread
+
 PAGE_WORDS, PAGE_LINES, CUT = 40, 5, 60
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # long texts are worth dealing out, short rows meet their shuffle soon enough
+    return spread(df) if name == "documents" else df
 
 
 def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,17 +56,13 @@ doc_lines AS (SELECT doc_id, source, i::INT AS line_no, ls[i + 1] AS line FROM s
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five lines a page, with a header, a separator, a mark of one's own and a page mark put in."""
-    lines = doc_lines(spark, sf_dir).withColumn("page", F.floor(F.col("line_no") / PAGE_LINES).cast("int") + 1)
-    pages = lines.groupBy("doc_id", "source", "page").agg(F.collect_list(F.struct((F.col("line_no") % PAGE_LINES + 2).alias("n"), "line")).alias("own"))
-    total = lines.groupBy("doc_id").agg(F.max("page").alias("total"))
-    made = F.array(
-        F.struct(F.lit(0).alias("n"), F.col("source").alias("line")), F.struct(F.lit(1).alias("n"), F.lit("-----").alias("line")),
-        F.struct(F.lit(7).alias("n"), F.format_string("body mark %d", F.col("page")).alias("line")),
-        F.struct(F.lit(8).alias("n"), F.format_string("Page %d of %d", F.col("page"), F.col("total")).alias("line")),
-    )
-    both = pages.join(total, "doc_id").select("doc_id", "page", F.explode(F.concat("own", made)).alias("x"))
-    return both.select("doc_id", "page", F.col("x.n").alias("line_no"), F.col("x.line").alias("line"))
+    """doc_id, page, lines: five lines a page, with a header, a separator, a mark of one's own and a page mark put in. All of a document comes from its row."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n", -1).alias("ls"))
+    d = d.withColumn("total", F.ceil(F.size("ls") / PAGE_LINES).cast("int"))
+    own = lambda p: F.slice("ls", p * PAGE_LINES + 1, PAGE_LINES)
+    marks = lambda p: F.array(F.format_string("body mark %d", p + 1), F.format_string("Page %d of %d", p + 1, F.col("total")))
+    pages = F.transform(F.sequence(F.lit(0), F.col("total") - 1), lambda p: F.concat(F.array(F.col("source"), F.lit("-----")), own(p), marks(p)))
+    return d.select("doc_id", F.posexplode(pages).alias("p", "lines")).select("doc_id", (F.col("p") + 1).alias("page"), "lines")
 
 
 PAGE_LINES_SQL = DOC_LINES + f""",

@@ -19,6 +19,12 @@ LITERAL = r"\((?:\\.|[^\\)])*+\)"
 RESULT_SCHEMA = "job_id string, status string, text string, confidence double, language string, warnings array<string>, expires_at timestamp, written_at timestamp"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores where it is read in fewer parts, as a small file of one row group is; a large table is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """path, modified, length, content, sha256, error of every file; a file that would be refused has an error instead of being dropped."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
