@@ -62,6 +62,11 @@ def dpi(pages: Column, wanted: Column) -> Column:
     return F.when(pages <= 10, F.least(wanted, F.lit(150))).when(pages <= 30, F.least(wanted, F.lit(120))).otherwise(F.least(wanted, F.lit(100)))
 
 
+def render_dpi(wanted: Column, ocr_language: str) -> Column:
+    """What pages are rendered with: no less than 150 for Gujarati, 300 for others, whatever the tier."""
+    return F.greatest(wanted, F.lit(150 if ocr_language == "gujarati" else 300))
+
+
 def display_language(language: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(language, F.lit(""))))
     return F.when(low.isin("gu", "guj", "gujarati"), "gujarati").when(low.isin("en", "eng", "english"), "english").when(low == "", "unknown").otherwise(low)

@@ -14,6 +14,18 @@ def expired(expires_at: Column, modified: Column, as_of: Column, seconds: int =
     return F.when(expires_at.isNotNull(), expires_at <= as_of).otherwise(age > seconds)
 
 
+def parse_expiry(text: Column) -> Column:
+    """The time that an ISO text names; without an offset it is in UTC; null for what is no time."""
+    t = F.trim(text)
+    return F.try_to_timestamp(F.when(t.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), t).otherwise(F.concat(t, F.lit("Z"))))
+
+
+def progress(step: Column, total: Column, stage: Column) -> Column:
+    """progress (percent) and message of a job that has done `step` of `total` parts."""
+    done = F.round(step / total * 100, 1).cast("double")
+    return F.struct(done.alias("progress"), F.format_string("Processing %s chunk %d/%d", stage, step, total).alias("message"))
+
+
 def expires_at(as_of: Column, seconds: int = RESULT_SECONDS) -> Column:
     return as_of + F.make_interval(secs=F.lit(seconds))
 

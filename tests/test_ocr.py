@@ -216,3 +216,12 @@ def test_jobs(spark):
 def test_ocr_score_gujarati(spark):
     df = spark.createDataFrame([("ગુજ", 0.2), ("abc", 0.2), ("", 0.9)], "t string, c double")
     assert [r.s for r in df.select(T.ocr_score(F.col("t"), F.col("c")).alias("s")).collect()] == [0.6, 0.45, 0.0]
+
+
+def test_settings(spark):
+    df = spark.createDataFrame([("2024-01-01T00:00:00+02:00", 1, 3), ("2024-01-01T00:00:00", 3, 3), ("2024-01-01T00:00:00.5Z", 0, 7), ("soon", 1, 8)], "t string, a int, b int")
+    got = df.select(F.unix_millis(jobs.parse_expiry(F.col("t"))).alias("t"), jobs.progress(F.col("a"), F.col("b"), F.lit("ocr")).alias("p")).collect()
+    assert [r.t for r in got] == [1704060000000, 1704067200000, 1704067200500, None]
+    assert [r.p.progress for r in got] == [33.3, 100.0, 0.0, 12.5] and got[0].p.message == "Processing ocr chunk 1/3"
+    tiers = df.select(*[classify.render_dpi(F.lit(d), x).alias(f"{x}{d}") for x in ("gujarati", "english") for d in (100, 350)]).first()
+    assert tuple(tiers) == (150, 350, 300, 350)
