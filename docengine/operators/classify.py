@@ -118,9 +118,3 @@ def best_of(texts: list[Column]) -> Column:
     """ord, text, score of the column with the highest text score; the first of equals. No row is moved."""
     each = [F.struct(T.text_score(t).alias("score"), F.lit(-i).alias("o"), t.alias("text")) for i, t in enumerate(texts)]
     return F.transform(F.array(F.array_max(F.array(*each))), lambda b: F.struct((-b["o"]).alias("ord"), b["text"].alias("text"), b["score"].alias("score")))[0]
-
-
-def best_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ord, text, score of the candidate with the highest text score; the first of equals."""
-    scored = candidates.withColumn("score", T.text_score(F.col("text")))
-    return scored.groupBy(*keys).agg(F.max_by(F.struct("ord", "text", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b")).select(*keys, "b.*")

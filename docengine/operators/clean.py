@@ -59,16 +59,6 @@ def without_near(lines: Column) -> Column:
     return _near_lines(lines)
 
 
-def remove_noise(lines: DataFrame) -> DataFrame:
-    """Lines cleaned; noise and empty ones dropped.
-
-    A filter would be pushed below the cleaning, which every rule would then repeat; as an array of one it is done once.
-    """
-    kept = F.filter(F.array(T.clean_line(F.col("line"))), lambda x: (x != "") & ~T.is_noise(x, stripped=True))
-    rest = [F.explode(kept).alias("line") if c == "line" else F.col(c) for c in lines.columns]
-    return lines.select(*rest)
-
-
 def drop_exact(lines: DataFrame, keys: list[str], order: list[str], key: Column | None = None) -> DataFrame:
     """The first of lines that are equal within `keys` but for case."""
     k = T.casefold(T.clean_line(F.col("line"))) if key is None else key
@@ -76,17 +66,6 @@ def drop_exact(lines: DataFrame, keys: list[str], order: list[str], key: Column
     return lines.withColumn("_key", k).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def repeated_lines(lines: DataFrame, share: float = HEADER_SHARE, most_words: int = HEADER_WORDS) -> DataFrame:
-    """doc_id, line of headers and footers: on at least `share` of a document's pages, counted once a page, and short."""
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    df = lines.groupBy("doc_id", "line").agg(F.count_distinct("page").alias("df"))
-    return df.join(pages, "doc_id").where((F.col("df") / F.col("pages") >= share) & (F.col("pages") >= 2) & (T.word_count(F.col("line")) <= most_words)).select("doc_id", "line", "df", "pages")
-
-
-def drop_headers(lines: DataFrame) -> DataFrame:
-    return lines.join(repeated_lines(lines).select("doc_id", "line"), ["doc_id", "line"], "left_anti")
-
-
 def _fresh(lines) -> list[bool]:
     seen: set = set()
     prints: set = set()
@@ -125,12 +104,6 @@ def drop_near(lines: DataFrame, keys: list[str], order: str = "line_no") -> Data
     return lines.groupBy(keys[0]).applyInPandas(run, lines.schema)
 
 
-def join_lines(lines: DataFrame, keys: list[str], order: list[str], sep: str = "\n") -> DataFrame:
-    """keys, text, n_lines of lines put together in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), sep).alias("text"), F.count("*").alias("n_lines"))
-
-
 def clean_text(df: DataFrame, *keys: str, near: bool = True) -> DataFrame:
     """keys, text, n_lines of each text cleaned as one block, after NFKC, without a shuffle. Texts without a line left are not returned; join them back where needed."""
     lines = df.select(*keys, solid_lines(T.split_lines(T.nfkc(F.col("text")))).alias("lines"))
@@ -146,7 +119,8 @@ def clean_block(df: DataFrame, text: str, near: bool = True) -> DataFrame:
 
 
 def without_heads(df: DataFrame, lines: str = "lines", share: float = HEADER_SHARE, most_words: int = HEADER_WORDS) -> DataFrame:
-    """Pages (doc_id, and an array `lines` of distinct lines, among others) without the headers and footers that `repeated_lines` names.
+    """Pages (doc_id, and an array `lines` of distinct lines, among others) without headers and footers: short lines on at least `share` of a document's
+    pages that have lines, where those are two or more.
 
     Lines stay in their page's row; what is shuffled are the short lines that may be headers, counted by document. A null line stands for the page itself.
     """

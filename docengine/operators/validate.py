@@ -19,7 +19,7 @@ def stitch(pages: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("page")
     nxt = pages.withColumn("_next", F.lead("text").over(w))
-    open_ = (T.strip(F.col("text")) != "") & (T.strip(F.col("_next")) != "") & ~T.strip(F.col("text")).rlike(r"[.!?।॥]$") & T.strip(F.col("_next")).rlike(r"^\p{Ll}")
+    open_ = (T.strip(F.col("text")) != "") & (T.strip(F.col("_next")) != "") & ~T.sentence_ends(T.strip(F.col("text"))) & T.strip(F.col("_next")).rlike(r"^\p{Ll}")
     marked = pair_up(nxt, open_, ["doc_id"], "page")
     joined = F.concat(T.strip(F.col("text")), F.lit(" "), T.strip(F.col("_next")))
     text = F.when(F.col("merges"), joined).when(F.col("merged"), "").otherwise(F.col("text"))

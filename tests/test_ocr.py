@@ -225,3 +225,34 @@ def test_settings(spark):
     assert [r.p.progress for r in got] == [33.3, 100.0, 0.0, 12.5] and got[0].p.message == "Processing ocr chunk 1/3"
     tiers = df.select(*[classify.render_dpi(F.lit(d), x).alias(f"{x}{d}") for x in ("gujarati", "english") for d in (100, 350)]).first()
     assert tuple(tiers) == (150, 350, 300, 350)
+
+
+def test_files_and_decoders(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, content in (("a.pdf", b"%PDF-1.4 one"), ("sub/b.pdf", b"nope"), ("c.txt", b"%PDF")):
+        (tmp_path / name).write_bytes(content)
+    files = D.raw_files(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.error, len(r.sha256)) for r in files.collect()}
+    assert got == {"a.pdf": (12, None, 64), "b.pdf": (4, "not a PDF", 64)}
+
+    def decoder(content):
+        if content == b"nope":
+            raise ValueError("broken")
+        return [(1, content.decode(), [], None), (2, "", ["w"], None)]
+
+    pages = {(r.path.rsplit("/", 1)[1], r.page): (r.text, r.error) for r in D.decode(files, decoder).collect()}
+    assert pages == {("a.pdf", 1): ("%PDF-1.4 one", None), ("a.pdf", 2): ("", None), ("b.pdf", None): ("", "ValueError: broken")}
+    images = spark.createDataFrame([(1, 1, bytearray(b"ab")), (1, 2, bytearray(b""))], "doc_id long, page int, image binary")
+    read = D.image_pages(images, lambda b: (b.decode().upper(), len(b) / 2)).orderBy("page").collect()
+    assert [(r.doc_id, r.page, r.text, r.confidence) for r in read] == [(1, 1, "AB", 1.0), (1, 2, "", 0.0)]
+
+
+def test_views(spark):
+    df = spark.createDataFrame([(1, 1, "One sentence of a page.", 0.9, "digital")], "doc_id long, page int, text string, confidence double, pdf_type string")
+    r = extraction.extract(df)
+    assert extraction.status_view(r).first().asDict() == {"doc_id": 1, "status": "done", "confidence": 0.9}
+    assert extraction.text_view(r).first().text == "[Page 1]\nOne sentence of a page."
+    states = spark.createDataFrame([(x,) for x in ("PENDING", "SUCCESS", "FAILURE", "Processing")], "s string")
+    assert [r.w for r in states.select(jobs.worker_state(F.col("s")).alias("w")).collect()] == ["pending", "done", "failed", "processing"]
+    old = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 01:00:00")], "job_id long, m string").select("job_id", F.to_timestamp("m").alias("modified"))
+    assert jobs.purged(old, F.to_timestamp(F.lit("2024-01-01 01:00:01"))).first().n == 1
