@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, LongType
 
 from docengine.llm import words as W
 from docengine.llm.components import components
-from docengine.llm.store import among, table, tune
+from docengine.llm.store import among, apart, table, tune
 
 #: Chance that the banding misses a pair exactly at the threshold.
 MISS = 1e-6
@@ -169,12 +169,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     reps = usable.select("id", "n", "keys").join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     entries = reps.select("id", "n", F.explode("keys").alias("key"))
     counted = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    crowded = table(entries.join(table(counted, "counted"), "key"), "crowded")
+    crowded = table(entries.join(apart(counted, "key"), "key"), "crowded")
     # what a group's copies derive from shares more buckets with them than they do with each other
     crowd = crowded.groupBy("id").agg(F.sum("c").alias("pop"))
     known = table(crowded.select("key", "id", "n").join(crowd, "id"), "members")
-    # stored, so that the joins of a crowded bucket are of plain shuffles, which Spark can split
-    pivots = table(known.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("o"), "id", "n")).alias("p")), "pivots")
+    pivots = apart(known.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("o"), "id", "n")).alias("p")), "key")
     buckets = table(known.join(pivots, "key").select("key", "id", "n", "pop", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "buckets")
 
     def alike(x: Column, y: Column) -> Column:
@@ -225,12 +224,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         c = components(links).select(F.col("node").alias("id"), "component")
         rows_ = buckets.select("key", "id", "n", "pop", "pid").join(c, "id", "left").withColumn("label", F.coalesce("component", "id"))
         first = F.max(F.when(F.col("id") == F.col("pid"), F.col("label"))).alias("first")
-        rows_ = table(rows_, "labelled")
         span = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo < hi")
-        many = table(rows_.drop("pid").join(table(span, "span"), "key"), "many")
+        many = rows_.drop("pid").join(apart(span, "key"), "key")
         # the most popular member outside the first pivot's component
         other = many.where(F.col("label") != F.col("first")).groupBy("key").agg(F.max(F.struct("pop", "label", "id", "n")).alias("p"))
-        return many.join(table(other, "other"), "key").select("key", "id", "n", "label", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
+        return many.join(apart(other, "key"), "key").select("key", "id", "n", "label", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
 
     def classes(found: DataFrame) -> DataFrame:
         copies = usable.select("id", "n", "f1", "f2").join(same, ["n", "f1", "f2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))

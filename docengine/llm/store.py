@@ -15,11 +15,13 @@ MAP_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="docengine-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -44,6 +46,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """`df`, an aggregate by a long `key`, with the key worked out anew, so that a join by it deals it out once more.
+
+    A join of rows with their own aggregate would take the aggregate where it lies; Spark splits the rows of a hot key
+    only if both sides of the join come straight from a shuffle. What moves again are the few rows of the aggregate.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def among(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `df` whose id is in `ids`.
 
