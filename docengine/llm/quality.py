@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,10 +80,18 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features of the sampled rows; of rows that a task reads more than once, one."""
+    seen: set[tuple[int, int, bytes]] = set()
     for frame in frames:
         texts = frame["text"].tolist()
         for lo, hi in W.batches(texts):
-            yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[lo:hi], "y": frame["y"].iloc[lo:hi], "fs": [f.tobytes() for f in features(texts[lo:hi])]})
+            rows = []
+            for doc_id, y, f in zip(frame["doc_id"].iloc[lo:hi], frame["y"].iloc[lo:hi], features(texts[lo:hi])):
+                mark = (doc_id, y, hashlib.blake2b(f, digest_size=16).digest())
+                if mark not in seen:
+                    seen.add(mark)
+                    rows.append((doc_id, y, f.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "y", "fs"])
 
 
 def ratios(neg: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -136,7 +145,7 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _fit(scale: np.ndarray):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "y", "fs"], kind="stable")
+        frame = frame.drop_duplicates().sort_values(["doc_id", "y", "fs"], kind="stable")
         rows = [np.frombuffer(b, dtype=np.int32) for b in frame["fs"]]
         y = np.where(frame["y"].to_numpy() > 0, 1.0, -1.0)
         if len(set(y)) < 2:
@@ -170,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     scale = ratios(neg, pos)
     share = min(1.0, sample / n, SAMPLE_CHARS / max(chars, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    some = chosen.mapInPandas(_featurise, "doc_id long, y int, fs binary").distinct()
+    some = chosen.mapInPandas(_featurise, "doc_id long, y int, fs binary")
     fit = some.groupBy(F.lit("all").alias("part")).applyInPandas(_fit(scale), "weights binary, bias double, slope double, offset double").first()
     return {"scale": scale.astype(np.float32), "weights": np.frombuffer(fit.weights, np.float32), **{k: fit[k] for k in ("bias", "slope", "offset")}}
 
